@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.llm.packing import op3_packing
+from wordloom.llm.substring_dedup import op4_substring_dedup
 from wordloom.llm.token_counts import op2_token_counts
 
-ALL = (op2_token_counts, op3_packing)
+ALL = (op2_token_counts, op3_packing, op4_substring_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
