@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wordloom.llm.decontamination import op1_decontamination
+from wordloom.llm.jaccard_join import op10_jaccard_join
 from wordloom.llm.packing import op3_packing
 from wordloom.llm.substring_dedup import op4_substring_dedup
 from wordloom.llm.token_counts import op2_token_counts
 
-ALL = (op2_token_counts, op3_packing, op4_substring_dedup)
+ALL = (op1_decontamination, op2_token_counts, op3_packing, op4_substring_dedup, op10_jaccard_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
