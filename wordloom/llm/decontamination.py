@@ -73,7 +73,7 @@ class Index:
         idf = np.log1p((total - df + 0.5) / (df + 0.5))
         size = np.array(self.length, float)[item]
         impact = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / max(mean, 1)))
-        own = np.bincount(item, impact * tf, minlength=len(items))  # the item as its own query
+        own = np.bincount(item, impact, minlength=len(items))  # the item as its own query
         need = share * own * np.minimum(1, stride / np.maximum(1, self.length))
         impact = impact / np.maximum(need, 1e-9)[item]
         order = np.lexsort((item, at))
@@ -121,19 +121,26 @@ def retrieve(index: Index, doc: np.ndarray, nth: np.ndarray, hashes: np.ndarray,
     which, row = spread_out(index.block_first, term[few])
     by_block = np.bincount(seg[few][which] * index.blocks + index.block[row], index.block_max[row], minlength=n * index.blocks).reshape(n, index.blocks)
     passage, block = np.nonzero((after(by_block) + after(base)[:, None] >= 1) & wanted[:, None])
-    starts, items, scores = [], [], []
     edge = np.searchsorted(seg, np.arange(n + 2))
-    for p in np.unique(passage):
-        opened = block[passage == p] if len(passage) < 64 else block[np.searchsorted(passage, p) : np.searchsorted(passage, p, "right")]
-        terms = term[edge[p] : edge[min(n, p + 1 + int(joined[p]))]]
-        _, row = spread_out(index.first, terms)
-        score = np.bincount(index.item[row], index.impact[row], minlength=index.blocks * BLOCK_ITEMS)
-        inside = (opened[:, None] * BLOCK_ITEMS + np.arange(BLOCK_ITEMS)).ravel()
-        for i in inside[score[inside] >= 1 - 1e-9]:
-            starts.append(new[p])
-            items.append(i)
-            scores.append(score[i])
-    return np.array(starts, np.int64), np.array(items, np.int64), np.array(scores)
+    opened, nth_opened = np.unique(passage, return_inverse=True)
+    starts, items, scores = [], [], []
+    width = index.blocks * BLOCK_ITEMS
+    step = max(1, (1 << 20) // width)
+    for lo in range(0, len(opened), step):  # the passages with open blocks, some at a time
+        p = opened[lo : lo + step]
+        ends = edge[np.minimum(n, p + 1 + joined[p])]
+        which = np.repeat(np.arange(len(p)), ends - edge[p])
+        own = term[np.arange(len(which)) - np.repeat(np.cumsum(ends - edge[p]) - (ends - edge[p]), ends - edge[p]) + np.repeat(edge[p], ends - edge[p])]
+        pair = np.unique(which * len(index.terms) + own)  # each term of a passage counts once
+        at, row = spread_out(index.first, pair % len(index.terms))
+        score = np.bincount((pair // len(index.terms))[at] * width + index.item[row], index.impact[row], minlength=len(p) * width).reshape(-1, BLOCK_ITEMS)
+        some = slice(np.searchsorted(nth_opened, lo), np.searchsorted(nth_opened, lo + len(p)))
+        rows = (nth_opened[some] - lo) * index.blocks + block[some]
+        k, place = np.nonzero(score[rows] >= 1 - 1e-9)
+        starts.append(new[p[rows[k] // index.blocks]])
+        items.append(block[some][k] * BLOCK_ITEMS + place)
+        scores.append(score[rows[k], place])
+    return (np.concatenate(starts), np.concatenate(items), np.concatenate(scores)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 def overlap(asked: np.ndarray, there: np.ndarray) -> float:
@@ -164,7 +171,7 @@ def _leaks(index, share: float, stride: int, question: float, answer: float):
     return find
 
 
-def leaks(docs: DataFrame, items: DataFrame, share: float = 0.5, stride: int = 64, question: float = 0.5, answer: float = 0.5, shard_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, share: float = 0.6, stride: int = 64, question: float = 0.5, answer: float = 0.5, shard_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: one row for each text and item that it leaks.
 
     score is the best passage's BM25 score as a share of the item's own. Null and empty texts and items leak
