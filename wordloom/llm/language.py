@@ -27,7 +27,7 @@ from wordloom.llm.common import documents
 FEATURES, STEPS, MAX_WORDS = 1 << 16, 128, 500_000
 #: Texts that are labelled together, in characters.
 CHARS = 1 << 20
-NONE = "und"
+NONE, TEXT = "und", "__text"
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -222,14 +222,14 @@ def _predict(shared):
                 got.extend(verdict(field, w, p) for w, p in zip(waiting, label_words(emissions, waiting) if field.labels else waiting))
                 waiting.clear()
 
-            for text in batch.column("text"):
+            for text in batch.column(TEXT):
                 waiting.append(words_of(text.as_py()))
                 chars += len(waiting[-1])
                 if chars > CHARS // 6:
                     flush()
                     chars = 0
             flush()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != TEXT), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*(c for c in batch.schema.names if c != TEXT), "lang_pred", "score"])
 
     return predict
 
@@ -260,8 +260,8 @@ def predict(docs: DataFrame, field: Field, text_col: str = "text", keep: list[st
     Nothing but the text is read for a prediction; equal texts get equal ones; an empty table gives no rows.
     """
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    chosen = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "text")
+    chosen = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias(TEXT))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != TEXT)
     return chosen.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(field)), f"{schema}, lang_pred string, score double")
 
 
