@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that are worked on at once (a longer text is a block of its own).
 BLOCK_BYTES = 1 << 20
 
+#: Spark's setting by which a query's shuffle files are removed once it has run.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 U64 = np.uint64
 _M1, _M2, _GOLD = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
 
@@ -39,10 +42,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df, written to the shared folder and read back: its lineage ends there."""
-    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written to the shared folder and read back: its lineage ends there, and its shuffle files go."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)  # a new plan, which sees the setting
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
