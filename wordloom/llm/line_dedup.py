@@ -3,13 +3,13 @@
 A line is its words. Equal lines are found by hash; the earliest keeps its place. Lines of `least` words or
 more are also near if one word is inserted, deleted or substituted (an edit distance of one word):
 
-1. All variants of a line with at most one word deleted are hashed by their word count, first two and last two
-   words. Deletions in between all give one key, so a line of any length has six keys. Lines that share no key
-   have no variant in common, and hence no near line.
-2. The lines of shared keys emit all their variants whole. Equal variants meet in an equi-join of minima, by
-   which no pairs are made: lines with one variant in common at the same place differ by a substitution there,
-   a line that equals another's variant by an insertion. That is the verification of the distance, by hashes
-   of all words.
+1. All variants of a line with at most one word deleted are hashed by their word count and the half that the
+   deletion leaves whole. All deletions in one half give one key, so a line of any length has four keys. Lines
+   that share no key have no variant in common, and hence no near line.
+2. The lines of shared keys emit their variants whole, for deletions in the halves that the keys leave open.
+   Equal variants meet in an equi-join of minima, by which no pairs are made: lines with one variant in common
+   at the same place differ by a substitution there, a line that equals another's variant by an insertion.
+   That is the verification of the distance, by hashes of all words.
 
 A line goes if an equal or near one stands earlier, by (id, place in the text), whether or not that one stays.
 """
@@ -25,36 +25,45 @@ SPACES = " \t\x0b\x0c\r"
 
 
 def _words(line: Column) -> Column:
-    return F.split(F.btrim(line, F.lit(SPACES)), "[ \\t\\x0B\\f\\r]+")
+    odd = line.contains("  ")
+    for c in SPACES[1:]:
+        odd = odd | line.contains(c)
+    return F.when(odd, F.split(F.btrim(line, F.lit(SPACES)), "[ \\t\\x0B\\f\\r]+")).otherwise(F.split(F.btrim(line, F.lit(" ")), " "))
 
 
 def _keys(words: Column, n: Column) -> Column:
-    """Hashes of (count, first two, last two words) of the line and of its variants."""
-    at = lambda k: F.element_at(words, k)
-    ends = {0: (1, 2, -2, -1), 1: (2, 3, -2, -1), 2: (1, 3, -2, -1), -2: (1, 2, -3, -1), -1: (1, 2, -3, -2)}
-    key = lambda count, deleted: F.xxhash64(count, *[at(k) for k in ends[deleted]])
-    return F.array(key(n, 0), *[key(n - 1, d) for d in (0, 1, 2, -2, -1)])
+    """Hashes of (count, left or right, that half) of the line itself, then of its variants."""
+    keys = []
+    for count in (n, n - 1):
+        half = F.floor(count / 2).cast("int")
+        keys.append(F.xxhash64(count, F.lit(0), F.slice(words, F.lit(1), half)))
+        keys.append(F.xxhash64(count, F.lit(1), F.slice(words, n - count + half + 1, count - half)))
+    return F.array(*keys)
 
 
 def drops(docs: DataFrame, least: int = 8) -> DataFrame:
     """doc_id, text_id, exact, near: the places of the lines that go, for texts that lose some.
 
-    docs has doc_id, text_id (a hash of the text) and text. `least` must be 6 or more.
+    docs has doc_id, text_id (a hash of the text) and text. `least` must be 2 or more.
     """
-    lines = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    lines = lines.select("doc_id", "text_id", "place", _words(F.col("line")).alias("words")).filter(F.element_at("words", 1) != "")
+    lines = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text_id", F.posexplode(F.split("text", "\n")).alias("place", "line")).filter(F.btrim("line", F.lit(SPACES)) != "")
+    lines = lines.select("doc_id", "text_id", "place", _words(F.col("line")).alias("words"))
     n = F.size("words")
     lines = lines.select("doc_id", "text_id", "place", F.xxhash64("words").alias("line"), F.when(n >= least, _keys(F.col("words"), n)).alias("keys"))
     lines = written(lines, "lines")
     firsts = lines.groupBy("line").agg(F.min(F.struct("doc_id", "text_id", "place")).alias("first"), F.count("*").alias("n"))
 
-    keyed = lines.filter("keys IS NOT NULL").select(F.explode("keys").alias("key"), "line")
+    keyed = lines.filter("keys IS NOT NULL").select(F.posexplode("keys").alias("k", "key"), "line")
     shared = keyed.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a < b")
-    asked = keyed.join(shared.select("key"), "key").select("line").distinct()
-    asked = asked.join(firsts, "line").select("line", F.col("first.doc_id").alias("doc_id"), F.col("first.text_id").alias("text_id"), F.col("first.place").alias("place"), "first")
+    asked = keyed.join(shared.select("key"), "key").groupBy("line").agg(F.max(F.col("k") == 2).alias("right"), F.max(F.col("k") == 3).alias("left"))
+    asked = asked.join(firsts, "line").select("line", "left", "right", F.col("first.doc_id").alias("doc_id"), F.col("first.text_id").alias("text_id"), F.col("first.place").alias("place"), "first")
+    asked = written(asked, "asked")
     asked = docs.select("doc_id", "text_id", "text").join(asked, ["doc_id", "text_id"])
-    asked = asked.select("line", "first", _words(F.element_at(F.split("text", "\n"), F.col("place") + 1)).alias("words"))
-    without = F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.struct(F.xxhash64(F.concat(F.slice("words", F.lit(1), i), F.slice("words", i + 2, F.size("words")))).alias("variant"), i.alias("at")))
+    asked = asked.select("line", "left", "right", "first", _words(F.element_at(F.split("text", "\n"), F.col("place") + 1)).alias("words"))
+    n, half = F.size("words"), F.floor((F.size("words") - 1) / 2).cast("int")
+    asked = asked.withColumn("from", F.when(F.col("left"), 0).otherwise(half)).withColumn("to", F.when(F.col("right"), n - 1).otherwise(half))
+    without = F.transform(F.sequence("from", "to"), lambda i: F.struct(F.xxhash64(F.concat(F.slice("words", F.lit(1), i), F.slice("words", i + 2, n))).alias("variant"), i.alias("at")))
+    without = F.when(F.col("left") | F.col("right"), without).otherwise(F.array().cast("array<struct<variant:bigint,at:int>>"))
     whole = F.array(F.struct(F.xxhash64("words").alias("variant"), F.lit(-1).alias("at")))
     variants = written(asked.select("line", "first", F.explode(F.concat(whole, without)).alias("v")).select("line", "first", "v.*"), "variants")
     by_place = variants.groupBy("variant", "at").agg(F.min("first").alias("same_place"))
