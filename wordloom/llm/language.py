@@ -184,6 +184,16 @@ class Emissions(dict):
         return self.rows[index]
 
 
+_made: dict = {}
+
+
+def emissions_of(field: Field) -> Emissions:
+    """One for all tasks of a worker, as long as they share a field."""
+    if _made.get("for") is not field:
+        _made["for"], _made["kept"] = field, Emissions(field)
+    return _made["kept"]
+
+
 def label_words(emissions: Emissions, texts: list[list[str]]) -> list[np.ndarray]:
     """Each text's label probabilities by word."""
     sizes = [len(t) for t in texts]
@@ -213,7 +223,7 @@ def verdict(field: Field, words: list[str], p: np.ndarray) -> tuple[str, float]:
 def _predict(shared):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field: Field = shared.value
-        emissions = Emissions(field)
+        emissions = emissions_of(field)
         for batch in batches:
             got: list[tuple[str, float]] = []
             waiting, chars = [], 0
