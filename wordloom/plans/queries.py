@@ -21,6 +21,7 @@ from wordloom.operators.decode import decoded, with_pieces
 from wordloom.operators.evaluate import METRICS, metrics, parity, samples
 from wordloom.operators.segment import encode_ids, piece_usage, segmentation
 from wordloom.operators.training import fit
+from wordloom.sources.corpus import spread
 
 CHARS, CANDIDATES = 40, TrainerConfig(max_piece_chars=4, seed_candidate_limit=2000)
 
@@ -53,7 +54,7 @@ def golden_frame(spark: SparkSession) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 GOLDEN = "case_id string, input string, normalized string, pieces array<string>, ids array<int>, decoded string, notes string"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df itself, or dealt out to all cores where its files have fewer splits than there are cores (a small input)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * (128 << 20) else df
+
+
 def from_iterable(spark: SparkSession, docs) -> DataFrame:
     rows = []
     for k, d in enumerate(docs):
