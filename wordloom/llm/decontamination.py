@@ -31,6 +31,8 @@ from wordloom.llm.common import ALNUM, U64, blocks, documents, written
 LEAK = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 K1, B = 1.2, 0.75
 BLOCK_ITEMS, ANSWER_WORDS = 8, 6
+#: The threshold, with room for the order of sums.
+LEAST = 1 - 1e-9
 
 
 def words_of(text: str) -> np.ndarray:
@@ -113,33 +115,39 @@ def retrieve(index: Index, doc: np.ndarray, nth: np.ndarray, hashes: np.ndarray,
     joined = np.r_[doc[new][1:] == doc[new][:-1], False] if n else np.zeros(0, bool)  # a passage: this segment and the next
     after = lambda x: x + np.where(joined.reshape(-1, *[1] * (x.ndim - 1)), np.r_[x[1:], x[:1]], 0)
     bound = np.bincount(seg, index.list_max[term], minlength=n)
-    wanted = after(bound) >= 1
+    wanted = after(bound) >= LEAST
     if not wanted.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    few = ~index.common[term]
-    base = np.bincount(seg[~few], index.list_max[term[~few]], minlength=n)
-    which, row = spread_out(index.block_first, term[few])
-    by_block = np.bincount(seg[few][which] * index.blocks + index.block[row], index.block_max[row], minlength=n * index.blocks).reshape(n, index.blocks)
-    passage, block = np.nonzero((after(by_block) + after(base)[:, None] >= 1) & wanted[:, None])
     edge = np.searchsorted(seg, np.arange(n + 2))
-    opened, nth_opened = np.unique(passage, return_inverse=True)
     starts, items, scores = [], [], []
-    width = index.blocks * BLOCK_ITEMS
-    step = max(1, (1 << 20) // width)
-    for lo in range(0, len(opened), step):  # the passages with open blocks, some at a time
+    terms, blocks_of = len(index.terms), index.blocks
+    opened = np.flatnonzero(wanted)
+    step = max(1, (1 << 18) // (blocks_of * BLOCK_ITEMS))
+    for lo in range(0, len(opened), step):  # some passages at a time: sums by block never grow with the text
         p = opened[lo : lo + step]
-        ends = edge[np.minimum(n, p + 1 + joined[p])]
-        which = np.repeat(np.arange(len(p)), ends - edge[p])
-        own = term[np.arange(len(which)) - np.repeat(np.cumsum(ends - edge[p]) - (ends - edge[p]), ends - edge[p]) + np.repeat(edge[p], ends - edge[p])]
-        pair = np.unique(which * len(index.terms) + own)  # each term of a passage counts once
-        at, row = spread_out(index.first, pair % len(index.terms))
-        score = np.bincount((pair // len(index.terms))[at] * width + index.item[row], index.impact[row], minlength=len(p) * width).reshape(-1, BLOCK_ITEMS)
-        some = slice(np.searchsorted(nth_opened, lo), np.searchsorted(nth_opened, lo + len(p)))
-        rows = (nth_opened[some] - lo) * index.blocks + block[some]
-        k, place = np.nonzero(score[rows] >= 1 - 1e-9)
-        starts.append(new[p[rows[k] // index.blocks]])
-        items.append(block[some][k] * BLOCK_ITEMS + place)
-        scores.append(score[rows[k], place])
+        size = edge[np.minimum(n, p + 1 + joined[p])] - edge[p]
+        which = np.repeat(np.arange(len(p)), size)
+        own = term[np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(edge[p], size)]
+        which, own = np.divmod(np.unique(which * terms + own), terms)  # each term of a passage counts once
+        few = ~index.common[own]
+        base = np.bincount(which[~few], index.list_max[own[~few]], minlength=len(p))
+        at, row = spread_out(index.block_first, own[few])
+        by_block = np.bincount(which[few][at] * blocks_of + index.block[row], index.block_max[row], minlength=len(p) * blocks_of)
+        open_ = by_block.reshape(len(p), blocks_of) + base[:, None] >= LEAST
+        passage, block = np.nonzero(open_)
+        if not len(passage):
+            continue
+        some = np.flatnonzero(open_.any(1)[which])
+        at, row = spread_out(index.first, own[some])
+        place = which[some][at] * blocks_of + index.item[row] // BLOCK_ITEMS
+        rank = np.cumsum(open_.ravel()) - 1  # of each open block
+        inside = open_.ravel()[place]
+        slot = rank[place[inside]] * BLOCK_ITEMS + index.item[row[inside]] % BLOCK_ITEMS
+        score = np.bincount(slot, index.impact[row[inside]], minlength=len(passage) * BLOCK_ITEMS).reshape(-1, BLOCK_ITEMS)
+        k, nth_item = np.nonzero(score >= LEAST)
+        starts.append(new[p[passage[k]]])
+        items.append(block[k] * BLOCK_ITEMS + nth_item)
+        scores.append(score[k, nth_item])
     return (np.concatenate(starts), np.concatenate(items), np.concatenate(scores)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
