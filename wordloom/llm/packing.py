@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import documents, ids_and_text, written
 from wordloom.llm.pretokens import as_letters, is_plain, pretokens
 
-#: Words whose ids a worker keeps before it starts anew.
-MAX_WORDS = 700_000
+#: Words whose ids a worker keeps before it starts anew, and the length beyond which it keeps none.
+MAX_WORDS, KEPT_CHARS = 700_000, 256
 
 
 class WordIds(dict):
@@ -40,7 +40,8 @@ class WordIds(dict):
         if len(self) > MAX_WORDS:
             self.clear()
         ids = np.array([t.id for t in self.model.tokenize(as_letters(word))], "<u4").tobytes()
-        self[word] = ids
+        if len(word) <= KEPT_CHARS:
+            self[word] = ids
         return ids
 
     def of(self, text: str) -> bytes:

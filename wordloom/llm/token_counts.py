@@ -28,6 +28,8 @@ from wordloom.llm.pretokens import as_letters, pretokens
 
 #: Characters of a chunk; states and words that are kept by a worker before it starts anew.
 CHUNK_CHARS, MAX_STATES, MAX_WORDS = 1 << 16, 150_000, 600_000
+#: A longer word is counted anew each time, so that what is kept stays bounded.
+KEPT_CHARS = 256
 END = "</w>"
 
 
@@ -149,7 +151,8 @@ class Transducer(dict):
             state, count = to[0], count + to[1]
         symbol = letters[-1] + END
         count += (state.on.get(symbol) or self.step(state, symbol))[1]
-        self[word] = count
+        if len(word) <= KEPT_CHARS:
+            self[word] = count
         return count
 
 
@@ -182,20 +185,27 @@ def compose(transducer: Transducer, a: Map, b: Map) -> Map:
     return a[0], a[1] + text_count(transducer, a[2] + b[0]) + b[1], b[2]
 
 
+def halved(transducer: Transducer, maps: list[Map]) -> list[Map]:
+    """One round of the scan's way up: neighbours are composed, whatever the other pairs do."""
+    return [compose(transducer, *maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+
+
 def scan(transducer: Transducer, maps: list[Map]) -> list[Map]:
-    """All prefixes composed, by doubling: each round composes pairs twice as far apart."""
-    out, gap = list(maps), 1
-    while gap < len(out):
-        out = out[:gap] + [compose(transducer, out[k - gap], out[k]) for k in range(gap, len(out))]
-        gap *= 2
-    return out
+    """All prefixes composed, in rounds up (pairs) and down (the prefixes between)."""
+    if len(maps) < 2:
+        return list(maps)
+    above = scan(transducer, halved(transducer, maps))
+    return [above[k // 2] if k % 2 or k + 1 == len(maps) else compose(transducer, above[k // 2 - 1], m) if k else m for k, m in enumerate(maps)]
 
 
 def chunked_count(transducer: Transducer, text: str, chunk_chars: int = CHUNK_CHARS) -> int:
+    """The last prefix is all that a count needs: the way up gives it, in memory of the text's own size."""
     if len(text) <= chunk_chars:
         return text_count(transducer, text)
     maps = [state_map(transducer, text[k : k + chunk_chars]) for k in range(0, len(text), chunk_chars)]
-    head, body, tail = scan(transducer, maps)[-1]
+    while len(maps) > 1:
+        maps = halved(transducer, maps)
+    head, body, tail = maps[0]
     return body + text_count(transducer, tail) + (text_count(transducer, head) if head is not None else 0)
 
 
