@@ -62,8 +62,8 @@ def secret_scan(docs: DataFrame, copied: int = 3, generic: bool = True, id_col:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied for each row.
 
     A value of `copied` or more owners is a copied example; else it is live if it looks random. Null and empty
-    texts have no spans; a null owner or repository counts as none; rows of one id and text come out alike; an
-    empty table gives no rows; other columns are not read.
+    texts have no spans; a null owner or repository counts as none; rows of one id and text come out alike, those
+    without an id too; an empty table gives no rows; other columns are not read.
     """
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[repo_col].cast("string").alias("repo"), docs[owner_col].cast("string").alias("owner"))
     docs = docs.withColumn("text_id", F.xxhash64("text"))
@@ -84,7 +84,8 @@ def secret_scan(docs: DataFrame, copied: int = 3, generic: bool = True, id_col:
         "doc_id", "text_id", *[count("base", _of_kind(k[0])).alias(f"n_{k[0]}") for k in KINDS],
         joined("base").alias("base_spans"), joined("kept").alias("spans"), count("kept", lambda x: x["live"]).alias("n_live"), count("kept", lambda x: x["copied"]).alias("n_copied"),
     )
-    out = docs.select("doc_id", "text_id").join(by_text, ["doc_id", "text_id"], "left")
+    by_text = by_text.withColumnsRenamed({"doc_id": "own_id", "text_id": "own_text"})
+    out = docs.select("doc_id", "text_id").join(by_text, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_id") == F.col("own_text")), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     return out.select("doc_id", zero("n_assign"), zero("n_access"), zero("n_hex"), F.sha2(F.coalesce(F.col("base_spans"), F.lit("")), 256).alias("base_sha256"), F.coalesce(F.col("spans"), F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"))
 
