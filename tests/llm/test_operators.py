@@ -17,7 +17,7 @@ from wordloom.llm.jaccard_join import jaccard_groups
 from wordloom.llm.licenses import license_scan
 from wordloom.llm.line_dedup import dedupe_lines
 from wordloom.llm.packing import pack, shortest_pack_first
-from wordloom.llm.quality import quality
+from wordloom.llm.quality import Model, discounts, quality
 from wordloom.llm.substring_dedup import remove_repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, anchor string"
@@ -80,6 +80,11 @@ def test_token_counts(docs, rows, empty):
     for m in maps[1:]:
         left = token_counts.compose(x, left, m)
     assert left == token_counts.scan(x, maps)[-1]
+    for n in (0, 1, 2, 7, 8):
+        prefixes = [token_counts.IDENTITY]
+        for m in maps[:n]:
+            prefixes.append(token_counts.compose(x, prefixes[-1], m))
+        assert token_counts.scan(x, maps[:n]) == prefixes[1:]
 
 
 def test_packing(docs, rows, empty):
@@ -152,6 +157,9 @@ def test_secrets(docs, rows, empty):
     assert by_id(out, "n_assign", "n_access", "n_hex", "base_sha256") == sorted(want, key=repr)
     assert sum(x[1] for x in want) == 2
     assert secrets.secret_scan(empty).count() == 0
+    nameless = secrets.secret_scan(docs.selectExpr("IF(doc_id = 16, NULL, doc_id) AS doc_id", "text", "source")).filter("doc_id IS NULL").collect()
+    one = next(x for x in want if x[0] == 16)
+    assert [(r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in nameless] == [one[1:]] * 2
 
 
 def test_quality(docs, rows, empty):
@@ -169,6 +177,31 @@ def test_quality(docs, rows, empty):
     assert quality(empty).count() == 0
 
 
+def test_kneser_ney():
+    rng = np.random.default_rng(4)
+    codes, counts = np.unique(rng.integers(0, 3, (400, 4)) @ (32 ** np.arange(3, -1, -1)), return_counts=True)
+    split = lambda c: tuple(c >> 5 * k & 31 for k in (3, 2, 1, 0))
+    levels = {4: {split(int(c)): int(n) for c, n in zip(codes, counts)}}
+    for n in (3, 2, 1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    lost = {n: discounts(np.array([*levels[n].values()])) for n in levels}
+
+    def p(g):
+        if not g:
+            return 1 / 32
+        own = {h: c for h, c in levels[len(g)].items() if h[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        d, total = lost[len(g)], sum(own.values())
+        c = own.get(g, 0)
+        return (c - d[min(c, 3)]) / total + sum(d[min(x, 3)] for x in own.values()) / total * p(g[1:])
+
+    table = Model(codes.astype(np.int32), counts).table()
+    for c in [*codes[:40].tolist(), *rng.integers(0, 32**4, 40).tolist(), *(rng.integers(0, 5, (40, 4)) @ (32 ** np.arange(3, -1, -1))).tolist()]:
+        assert np.isclose(np.exp(table[c]), p(split(c)), rtol=1e-4)
+    assert np.allclose(np.exp(table.reshape(-1, 32).astype(float)).sum(1), 1, atol=1e-3)
+
+
 def test_line_dedup(docs, rows, empty):
     least = 8
     split = lambda x: [tuple(words(line)) for line in x.split("\n")]
@@ -274,6 +307,28 @@ def test_components(spark):
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
 
 
+def test_retrieval():
+    rng = random.Random(8)
+    made = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrs')}" for _ in range(90)]
+    items = [(k, " ".join(rng.choice(made) for _ in range(rng.randint(1, 30)))) for k in range(60)]
+    hashed = [decontamination.words_of(t) for _, t in items]
+    frequency = Counter(int(h) for w in hashed for h in set(w.view(np.int64).tolist()))
+    x = decontamination.Index(items, frequency, 60, 15.0, 0.6, 8)
+    texts = [[decontamination.words_of(rng.choice(made + ["other"] * 90))[0] for _ in range(n)] for n in (0, 1, 7, 40, 300)] + [hashed[3].tolist() * 2]
+    doc, nth = np.repeat(np.arange(6), [len(t) for t in texts]), np.concatenate([np.arange(len(t)) for t in texts])
+    want = {}
+    for d, t in enumerate(texts):
+        for s in range(0, len(t), 8):
+            held = {int(h) for h in t[s : s + 16]}
+            for k in range(60):
+                score = sum(x.impact[x.first[j] : x.first[j + 1]][x.item[x.first[j] : x.first[j + 1]] == k].sum() for j, h in enumerate(x.terms.tolist()) if h in held)
+                if score >= 1 - 1e-9:
+                    want[sum(map(len, texts[:d])) + s, k] = score
+    start, item, score = decontamination.retrieve(x, doc, nth, np.array([h for t in texts for h in t], np.uint64), 8)
+    got = dict(zip(zip(start.tolist(), item.tolist()), score.tolist()))
+    assert got.keys() == want.keys() and len(got) == len(start) > 5 and all(np.isclose(got[k], want[k]) for k in got)
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(7, ITEM, 1), (8, prose(40, seed=77), 1), (9, None, 1), (10, "", 1), (11, "?!", 1)], "item_id long, text string, doc_id int")
     for shard in (1 << 20, 60):
