@@ -301,6 +301,22 @@ def test_jaccard(docs, rows, empty, shingle, percent, side):
     assert jaccard_groups(empty).count() == 0
 
 
+def test_sql(spark, rows, tmp_path):
+    import duckdb
+
+    from wordloom.llm import queries
+
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows[: len(TEXTS)], SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").coalesce(1).write.parquet(path)
+    for name, sql in queries.oracle_sql().items():
+        got = queries.queries()[name](spark, str(tmp_path))
+        columns = sorted(got.columns)
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+        want = con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
+        assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == sorted(want, key=repr), name
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}

@@ -15,6 +15,7 @@ from wordloom.llm.line_dedup import op7_line_dedup
 from wordloom.llm.packing import op3_packing
 from wordloom.llm.quality import op6_quality_rules
 from wordloom.llm.secrets import op5_secret_scan
+from wordloom.llm.sql import SQL
 from wordloom.llm.substring_dedup import op4_substring_dedup
 from wordloom.llm.token_counts import op2_token_counts
 
@@ -25,17 +26,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ALL} | {"pipeline": corpus_pipeline.run}
 
 
-SUBSTRING_DEDUP = r"""
-WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-windows AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM texts)),
-firsts AS (SELECT h, min(doc_id) AS m FROM windows GROUP BY h),
-gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM windows JOIN firsts USING (h), range(50) AS r(k) WHERE doc_id > m),
-placed AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM texts),
-kept AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY pos) AS t FROM placed ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
-SELECT texts.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
-FROM texts LEFT JOIN kept ON texts.doc_id = kept.doc_id
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": SUBSTRING_DEDUP}
+    return dict(SQL)
