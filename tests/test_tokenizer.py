@@ -13,6 +13,7 @@ from wordloom.operators import vocabulary as V
 from wordloom.operators.candidates import seed_candidates
 from wordloom.operators.decode import decode_ids, decode_pieces
 from wordloom.operators.evaluate import metrics, parity, report, samples
+from wordloom.operators.external import backend_of, external_report, external_train, slug
 from wordloom.operators.segment import Segmenter, piece_usage
 from wordloom.operators.training import fit, pruned, reindexed, rescored, trimmed
 from wordloom.plans.queries import EDGE_CASES, golden_frame, golden_model
@@ -200,6 +201,43 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["eval", "--model", own, str(tmp_path / "c.txt")]) == 0
 
 
+def test_external_backend(spark, tmp_path, capsys):
+    import sentencepiece
+
+    corpus = tmp_path / "c.txt"
+    corpus.write_text("Muraho neza\n\nMuraho bwiza\nNeza cyane\nIsi yose\n", encoding="utf-8")
+    assert cli.main(["train", "--backend", "sentencepiece", "--output-dir", str(tmp_path / "out"), "--name", " Some  Name!", "--vocab-size", "32", str(corpus)]) == 0
+    told = json.loads(capsys.readouterr().out)
+    assert told["name"] == "some-name" and told["documents"] == 5 and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["eval.json", "some-name.model", "some-name.vocab"]
+    p = sentencepiece.SentencePieceProcessor(model_file=told["model"])
+    lines = [normalize_text(x) for x in corpus.read_text().split("\n") if x]
+    ids = p.encode(lines)
+    assert cli.main(["eval", "--model", told["model"], "--sample-limit", "2", "--output", str(tmp_path / "new" / "r.json"), str(corpus)]) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert got == json.loads((tmp_path / "new" / "r.json").read_text()) and got["model_name"] == "some-name" and got["vocab_size"] == p.get_piece_size()
+    tokens = sum(map(len, ids))
+    assert got["average_chars_per_token"] == sum(map(len, lines)) / tokens and got["average_tokens_per_document"] == tokens / 4 and got["unknown_rate"] == 0
+    assert got["vocab_utilization"] == len({i for x in ids for i in x}) / p.get_piece_size()
+    assert [s["ids"] for s in got["sample_segmentations"]] == ids[:2] and got["sample_segmentations"][0]["pieces"] == p.encode(lines[0], out_type=str)
+    docs = spark.createDataFrame([(1, " "), (2, None)], "doc_id int, text string")
+    empty = external_report(docs, p.serialized_model_proto(), "x", limit=0)
+    assert empty["unknown_rate"] == empty["average_chars_per_token"] == 0.0 and empty["sample_segmentations"] == []
+    with pytest.raises(ValueError, match="at most"):
+        external_train(from_iterable(spark, ["abc"]).withColumnRenamed("line_no", "doc_id"), str(tmp_path), "x", 8, max_bytes=1)
+    assert backend_of("a.JSON") == "custom" and slug("--") == "sentencepiece-unigram"
+    assert cli.main(["eval", "--model", "a.bin", str(corpus)]) == 1
+
+
+def test_parity_command(tmp_path, capsys):
+    write_model(golden_model(), tmp_path / "m.json")
+    case = {"case_id": "a", "input": "Muraho neza", "normalized": "▁Muraho▁neza", "pieces": ["▁Mur", "aho", "▁neza"], "ids": [7, 8, 9], "decoded": "Muraho neza"}
+    (tmp_path / "cases.jsonl").write_text(json.dumps(case) + "\n\n" + json.dumps(case | {"case_id": "b", "ids": [7], "decoded": "x"}) + "\n")
+    assert cli.main(["parity", "--model", str(tmp_path / "m.json"), "--runtime", "python", "--cases", str(tmp_path / "cases.jsonl")]) == 1
+    told = json.loads(capsys.readouterr().out)
+    assert (told["total"], told["failed"], told["passed"], told["ok"]) == (2, 1, 1, False)
+    assert told["mismatches"] == [{"case_id": "b", "line": 3, "failed_fields": ["ids", "decoded"]}]
+
+
 def test_stream(spark, tmp_path):
     from wordloom.streaming.encode import encode_stream
 

@@ -14,6 +14,7 @@ from wordloom.functions.normalize import normalize_text
 from wordloom.model import TrainerConfig, load_model, write_model, write_report, write_vocab
 from wordloom.operators.decode import decode_ids, decode_pieces
 from wordloom.operators.evaluate import parity, report
+from wordloom.operators.external import backend_of, external_report, external_train
 from wordloom.operators.segment import Segmenter
 from wordloom.operators.training import fit
 from wordloom.sources.corpus import golden_cases, load
@@ -28,25 +29,26 @@ def parser() -> argparse.ArgumentParser:
     corpus.add_argument("--field")
     corpus.add_argument("--sample-limit", type=int, default=8)
     corpus.add_argument("paths", nargs="+")
+    own = argparse.ArgumentParser(add_help=False)
+    own.add_argument("--model", required=True)
+    own.add_argument("--runtime", choices=("auto", "python", "native"), default="auto", help="accepted for all names: there is one engine")
     p = sub.add_parser("train", parents=[corpus])
+    p.add_argument("--backend", choices=("custom", "sentencepiece"), default="custom")
     p.add_argument("--output-dir", required=True)
     p.add_argument("--name", default="unigram-model")
     p.add_argument("--vocab-size", type=int, default=TrainerConfig.vocab_size)
     p = sub.add_parser("eval", parents=[corpus])
     p.add_argument("--model", required=True)
+    p.add_argument("--backend", choices=("auto", "custom", "sentencepiece"), default="auto")
     p.add_argument("--output")
-    p = sub.add_parser("encode")
-    p.add_argument("--model", required=True)
+    p = sub.add_parser("encode", parents=[own])
     p.add_argument("--pieces", action="store_true")
     p.add_argument("text")
-    p = sub.add_parser("decode")
-    p.add_argument("--model", required=True)
+    p = sub.add_parser("decode", parents=[own])
     p.add_argument("ids", nargs="+", type=int)
-    p = sub.add_parser("decode-pieces")
-    p.add_argument("--model", required=True)
+    p = sub.add_parser("decode-pieces", parents=[own])
     p.add_argument("pieces", nargs="+")
-    p = sub.add_parser("parity")
-    p.add_argument("--model", required=True)
+    p = sub.add_parser("parity", parents=[own])
     p.add_argument("--cases", required=True)
     return top
 
@@ -56,7 +58,7 @@ def _ordered(docs):
 
 
 def run(args: argparse.Namespace) -> int:
-    show = lambda x: print(json.dumps(x, ensure_ascii=False))
+    show = lambda x, indent=None: print(json.dumps(x, ensure_ascii=False, indent=indent))
     if args.command == "normalize":
         print(normalize_text(args.text))
         return 0
@@ -70,24 +72,34 @@ def run(args: argparse.Namespace) -> int:
         return 0
     spark = SparkSession.builder.getOrCreate()
     if args.command == "parity":
-        bad = parity(golden_cases(spark, args.cases), load_model(args.model)).filter(F.size("failed_fields") > 0)
-        rows = [r.asDict() for r in bad.collect()]
-        show({"mismatches": rows, "passed": not rows})
-        return int(bool(rows))
+        cases = golden_cases(spark, args.cases)
+        bad = parity(cases, load_model(args.model)).filter(F.size("failed_fields") > 0).orderBy("line_no").collect()
+        total = cases.count()
+        wrong = [{"case_id": r["case_id"], "line": r["line_no"] + 1, "failed_fields": r["failed_fields"]} for r in bad]
+        show({"model": args.model, "cases": args.cases, "runtime": "spark", "total": total, "failed": len(wrong), "passed": total - len(wrong), "ok": not wrong, "mismatches": wrong}, 2)
+        return int(bool(wrong))
     docs = _ordered(load(spark, args.paths, args.input_format, args.field))
     if args.command == "train":
+        if args.backend == "sentencepiece":
+            show(external_train(docs, args.output_dir, args.name, args.vocab_size, args.sample_limit), 2)
+            return 0
         model = fit(docs, TrainerConfig(vocab_size=args.vocab_size), name=args.name)
         out = Path(args.output_dir)
         out.mkdir(parents=True, exist_ok=True)
         write_model(model, out / "model.v1.json")
         write_vocab(model, out / "vocab.tsv")
         write_report(report(docs, model, args.sample_limit), out / "eval.json")
-        show({"name": model.name, "vocab_size": len(model.vocab), "output_dir": str(out)})
+        show({"name": model.name, "documents": docs.count(), "vocab_size": len(model.vocab), "model": str(out / "model.v1.json"), "vocab": str(out / "vocab.tsv"), "eval": str(out / "eval.json")}, 2)
         return 0
-    result = report(docs, load_model(args.model), args.sample_limit)
+    backend = backend_of(args.model) if args.backend == "auto" else args.backend
+    if backend == "sentencepiece":
+        result = external_report(docs, Path(args.model).read_bytes(), Path(args.model).stem, args.sample_limit)
+    else:
+        result = report(docs, load_model(args.model), args.sample_limit)
     if args.output:
+        Path(args.output).parent.mkdir(parents=True, exist_ok=True)
         write_report(result, args.output)
-    show(result)
+    show(result, 2)
     return 0
 
 
@@ -95,7 +107,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         return run(parser().parse_args(argv))
     except (OSError, ValueError, RuntimeError, KeyError, TypeError) as e:
-        print(f"error: {e}", file=sys.stderr)
+        print(e, file=sys.stderr)
         return 1
 
 

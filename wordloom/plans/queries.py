@@ -19,6 +19,7 @@ from wordloom.operators import vocabulary as V
 from wordloom.operators.candidates import seed_candidates, substring_counts
 from wordloom.operators.decode import decoded, with_pieces
 from wordloom.operators.evaluate import METRICS, metrics, parity, samples
+from wordloom.operators.external import external_segmentation
 from wordloom.operators.segment import encode_ids, piece_usage, segmentation
 from wordloom.operators.training import fit
 from wordloom.sources.corpus import spread
@@ -165,6 +166,15 @@ def parity_report(spark, sf_dir):
     return parity(golden_frame(spark), golden_model()).select("case_id", F.array_join("failed_fields", ",").alias("failed"))
 
 
+def external_encode(spark, sf_dir):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        seg = external_segmentation(f.read())("normalized")
+    rows = _texts(spark, sf_dir).withColumn("ids", seg["ids"])
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"))
+
+
 def train_small(spark, sf_dir):
     config = TrainerConfig(vocab_size=600, max_piece_chars=4, seed_candidate_limit=1200, max_iterations=3, prune_fraction=0.3)
     return vocab_frame(spark, fit(_docs(spark, sf_dir), config))
@@ -172,7 +182,7 @@ def train_small(spark, sf_dir):
 
 ALL = (
     normalize_documents, normalize_edge_cases, line_scan, char_inventory, seed_candidates_topk, seed_scores, byte_pieces, encode_documents, usage, rescore_vocab,
-    score_delta, prune_vocab, final_trim, reindex_vocab, decode_roundtrip, decode_ids_join, eval_metrics, sample_segmentations, validate_model, parity_report, train_small,
+    score_delta, prune_vocab, final_trim, reindex_vocab, decode_roundtrip, decode_ids_join, eval_metrics, sample_segmentations, validate_model, parity_report, external_encode, train_small,
 )
 
 

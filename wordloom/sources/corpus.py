@@ -76,4 +76,6 @@ def load(spark: SparkSession, paths: list[str], input_format: str = "text", fiel
 
 
 def golden_cases(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(GOLDEN).json(path)
+    """The cases with the number of their line, from 0; blank lines are passed over."""
+    rows = _lines(spark, path, 0).filter(F.btrim("text") != "")
+    return rows.select("line_no", F.from_json("text", GOLDEN, {"mode": "FAILFAST"}).alias("c")).select("line_no", "c.*")
