@@ -201,6 +201,23 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["eval", "--model", own, str(tmp_path / "c.txt")]) == 0
 
 
+@pytest.mark.parametrize("limit, most, least", [(40, 7, 1), (12, 24, 2), (1000, 5, 3), (3, 4, 1)])
+def test_seed_candidates_by_brute_force(spark, limit, most, least):
+    rng = random.Random(limit)
+    texts = ["▁" + "".join(rng.choice("aab▁é") for _ in range(rng.randint(0, 30))) for _ in range(40)] + ["", "▁xyzxyzxyz"] * 3
+    every: dict = {}
+    for t in texts:
+        for n in range(1, most + 1):
+            for k in range(len(t) - n + 1):
+                every[t[k : k + n]] = every.get(t[k : k + n], 0) + 1
+    single = sorted((p, c) for p, c in every.items() if len(p) == 1)
+    rest = sorted(((p, c) for p, c in every.items() if len(p) > 1 and c >= least), key=lambda x: (-x[1], x[0]))[: max(limit - len(single), 0)]
+    want = [(p, c, True) for p, c in single] + [(p, c, False) for p, c in rest]
+    config = TrainerConfig(seed_candidate_limit=limit, max_piece_chars=most, min_candidate_freq=least)
+    rows = seed_candidates(spark.createDataFrame([(t,) for t in texts], "normalized string"), config).orderBy("position").collect()
+    assert [(r.piece, r["count"], r.protected) for r in rows] == want and [r.position for r in rows] == list(range(len(want)))
+
+
 def test_external_backend(spark, tmp_path, capsys):
     import sentencepiece
 

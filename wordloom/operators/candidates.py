@@ -1,4 +1,10 @@
-"""Seed candidates: every substring up to a length, counted over the corpus; single characters always stay."""
+"""Seed candidates: the most frequent substrings up to a length; single characters always stay.
+
+A substring's prefix is at least as frequent as it is and comes first among equals, so the best `limit` substrings
+hold all their prefixes. Beyond the first lengths, they are therefore counted a few at a time, and only behind
+prefixes that are among the best so far: what later passes broadcast is bound by the limit, and they shuffle
+only what extends it.
+"""
 
 from __future__ import annotations
 
@@ -6,24 +12,29 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.model import TrainerConfig
 
-#: Substrings that a task adds up before it hands them on.
-HELD = 1_000_000
+#: Substrings that a task adds up before it hands them on; lengths that the first pass counts, and each later one.
+HELD, FIRST, LENGTHS = 1_000_000, 3, 2
 
 
-def substring_counts(texts: DataFrame, max_chars: int, weight: str | None = None) -> DataFrame:
+def substring_counts(texts: DataFrame, max_chars: int, weight: str | None = None, min_chars: int = 1, prefixes: set[str] | None = None) -> DataFrame:
     """piece, count over the column normalized. Substrings may cross the boundary marker.
 
-    Each task adds up what it reads, some at a time, so memory is bounded and the shuffle gets sums. SQL's
-    substring() walks a text from its start each time, which is quadratic in a text's length; this is not.
+    With prefixes, all of one length below min_chars, only substrings that begin with one of them. Each task adds
+    up what it reads, some at a time, so memory is bounded and the shuffle gets sums. SQL's substring() walks a
+    text from its start each time, which is quadratic in a text's length; this is not.
     """
+    shared = texts.sparkSession.sparkContext.broadcast(prefixes) if prefixes is not None else None
+    head = len(next(iter(prefixes))) if prefixes else 0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
+        known = shared.value if shared else None
 
         def out() -> pa.RecordBatch:
             rows = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["piece", "n"])
@@ -32,8 +43,10 @@ def substring_counts(texts: DataFrame, max_chars: int, weight: str | None = None
 
         for batch in batches:
             for text, w in zip(batch.column("normalized").to_pylist(), batch.column("w").to_pylist()):
-                for n in range(1, max_chars + 1):
-                    for piece, c in Counter([text[k : k + n] for k in range(len(text) - n + 1)]).items():
+                starts = range(len(text)) if known is None else [k for k in range(len(text) - head) if text[k : k + head] in known]
+                for n in range(min_chars, max_chars + 1):
+                    last = len(text) - n
+                    for piece, c in Counter([text[k : k + n] for k in starts if k <= last]).items():
                         total[piece] += c * w
                     if len(total) > HELD:
                         yield out()
@@ -44,11 +57,33 @@ def substring_counts(texts: DataFrame, max_chars: int, weight: str | None = None
 
 
 def seed_candidates(texts: DataFrame, config: TrainerConfig, weight: str | None = None) -> DataFrame:
-    """piece, count, protected, position: characters by code point, then the rest by count, up to the limit."""
-    counted = substring_counts(texts, config.max_piece_chars, weight).persist()
-    single = counted.filter(F.length("piece") == 1)
-    room = max(config.seed_candidate_limit - single.count(), 0)
-    most = counted.filter((F.length("piece") > 1) & (F.col("count") >= config.min_candidate_freq)).orderBy(F.desc("count"), "piece").limit(room)
-    both = single.withColumn("protected", F.lit(True)).unionByName(most.withColumn("protected", F.lit(False)))
-    order = Window.orderBy(F.desc("protected"), F.when(F.col("protected"), 0).otherwise(-F.col("count")), "piece")  # seed_candidate_limit rows, about
-    return both.withColumn("position", (F.row_number().over(order) - 1).cast("int"))
+    """piece, count, protected, position: characters by code point, then the rest by count, up to the limit.
+
+    The driver holds the characters and seed_candidate_limit pieces. Texts are read once a pass, and persisted for it
+    unless they are already.
+    """
+    own = not texts.is_cached
+    if own:
+        texts = texts.select("normalized", *([weight] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        to = min(FIRST, config.max_piece_chars)
+        counted = substring_counts(texts, to, weight).persist(StorageLevel.MEMORY_AND_DISK)
+        single = sorted((r["piece"], r["count"]) for r in counted.filter(F.length("piece") == 1).collect())
+        room = max(config.seed_candidate_limit - len(single), 0)
+        best = _top(counted, room, config.min_candidate_freq)
+        counted.unpersist()
+        while room and to < config.max_piece_chars and (prefixes := {p for p, _ in best if len(p) == to}):
+            least = max(config.min_candidate_freq, best[-1][1] if len(best) == room else 0)
+            to = min((n := to + 1) + LENGTHS - 1, config.max_piece_chars)
+            best += _top(substring_counts(texts, to, weight, n, prefixes), room, least)
+            best = sorted(best, key=lambda x: (-x[1], x[0]))[:room]
+    finally:
+        if own:
+            texts.unpersist()
+    rows = [(p, c, True) for p, c in single] + [(p, c, False) for p, c in best]
+    return texts.sparkSession.createDataFrame([(*r, k) for k, r in enumerate(rows)], "piece string, count long, protected boolean, position int")
+
+
+def _top(counted: DataFrame, room: int, least: int) -> list[tuple[str, int]]:
+    rows = counted.filter((F.length("piece") > 1) & (F.col("count") >= least)).orderBy(F.desc("count"), "piece").limit(room)
+    return [(r["piece"], r["count"]) for r in rows.collect()] if room else []
