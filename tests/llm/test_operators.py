@@ -14,7 +14,7 @@ from wordloom.llm import decontamination, language, secrets, token_counts
 from wordloom.llm.automaton import SuffixAutomaton, covered
 from wordloom.llm.components import components
 from wordloom.llm.jaccard_join import jaccard_groups
-from wordloom.llm.licenses import license_scan
+from wordloom.llm.licenses import TEMPLATES, license_scan
 from wordloom.llm.line_dedup import dedupe_lines
 from wordloom.llm.packing import pack, shortest_pack_first
 from wordloom.llm.quality import Model, discounts, quality
@@ -255,6 +255,31 @@ def test_licenses(docs, rows, empty):
     assert license_scan(empty).count() == 0
 
 
+def test_licenses_of_many_notices(spark):
+    notice = [t[1] for t in TEMPLATES]
+    texts = [f"{a} {prose(k)} {b}" for k, a in enumerate(notice) for b in notice]
+    texts += [" ".join(notice), "\n".join(notice[::-1] * 3), " ".join(" ".join(n.split()[2:]) for n in notice), "source and binary forms", "cc by x by cc nc", *notice, *[prose(30, seed=k) for k in range(40)], None, ""]
+    ws = [(x or "").split() for x in texts]
+    ws = [[y.strip(".,").lower() for y in w] for w in ws]
+    idf = {y: np.log((1 + len(ws)) / (1 + sum(y in w for w in ws))) for t in TEMPLATES for y in t[1].split()}
+    bases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    want = []
+    for d, w in enumerate(ws):
+        base = {label for p, label in bases.items() if f" {p} " in f" {' '.join(w)} "}
+        found = {}
+        for label, text, phrases in TEMPLATES:
+            own = text.split()
+            for begin in range(-len(own), len(w)):
+                same = [0 <= begin + k < len(w) and w[begin + k] == y for k, y in enumerate(own)]
+                if any(all(same[k : k + len(p)]) for p in map(str.split, phrases) for k in range(len(own)) if own[k : k + len(p)] == p):
+                    score = sum(idf[y] for y, s in zip(own, same) if s) / sum(idf[y] for y in own)
+                    found[label] = max(found.get(label, 0), score)
+        want.append((d, ",".join(sorted(base | {k for k, v in found.items() if v >= 0.6})), max([*found.values(), 1.0 if base else 0.0])))
+    got = sorted((r.doc_id, r.labels, r.score) for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want])
+    assert {"bsd", "cc-by-nc", "mit", "mpl"} < set(want[len(notice) ** 2][1].split(","))
+
+
 def test_language(spark, docs, empty):
     labelled = [(prose(40, lang, seed=k), lang) for k in range(30) for lang in ("en", "fr")]
     field = language.train(labelled, sequences=60, rounds=15)

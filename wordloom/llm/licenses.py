@@ -1,10 +1,10 @@
 """Operator 8, licence scans by a positional index of rare licence words.
 
 The templates' words are indexed with their places. Document frequencies of these words over the whole corpus
-rank them; a file is looked up by its `rarest` highest-IDF licence words. Each of their places and each
-posting name a template and where it would begin; a beginning that two or more of the words agree on is a
-candidate, which is kept if a mandatory phrase of the template stands at its place. The score is the share of the template's
-IDF that the file has in place.
+rank them. A template counts where one of its mandatory phrases stands, so each template is looked up by its own
+phrases' rarest (highest-IDF) words, however many other notices the file holds: each of their places names
+where the template would begin, and the begin is kept if the whole phrase stands at its place. That finds
+every such place. The score is the share of the template's IDF that the file has in place.
 """
 
 from __future__ import annotations
@@ -41,14 +41,16 @@ class Index:
     def __init__(self, templates, idf: dict[int, float]):
         self.labels = [t[0] for t in templates]
         self.words = [hashes(t[1]) for t in templates]
-        self.phrases = [[hashes(p) for p in t[2]] for t in templates]
         self.terms = np.unique(np.concatenate(self.words))
         self.idf = np.array([idf.get(int(x), 0.0) for x in self.terms.view(np.int64)])
-        self.weight = [self.idf[np.searchsorted(self.terms, w)] for w in self.words]
-        self.postings: list[list[tuple[int, int]]] = [[] for _ in self.terms]
+        self.weight = [self.idf[self.rank(w)] for w in self.words]
+        self.probes: list[list[tuple[int, int, int]]] = []  # by template: place and size of each phrase, its rarest word
         for t, w in enumerate(self.words):
-            for k, x in enumerate(np.searchsorted(self.terms, w).tolist()):
-                self.postings[x].append((t, k))
+            stand = [(k, len(p)) for p in (hashes(p) for p in templates[t][2]) for k in range(len(w) - len(p) + 1) if (w[k : k + len(p)] == p).all()]
+            self.probes.append([(k, n, max(self.rank(w[k : k + n]).tolist(), key=lambda x: (self.idf[x], -x))) for k, n in stand])
+
+    def rank(self, words: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.terms, words)
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.terms, w.hash), len(self.terms) - 1)
@@ -78,31 +80,36 @@ def _frequencies(templates):
     return count
 
 
-def matched(x: Index, words: np.ndarray, place: np.ndarray, term: np.ndarray, rarest: int) -> dict[str, float]:
-    """label -> score of a file's words, whose licence words stand at place."""
-    kinds = np.unique(term)
-    top = kinds[np.lexsort((kinds, -x.idf[kinds]))[:rarest]]
-    votes: dict[tuple[int, int], set[int]] = {}
-    for p, t in zip(place[np.isin(term, top)].tolist(), term[np.isin(term, top)].tolist()):
-        for template, k in x.postings[t]:
-            votes.setdefault((template, p - k), set()).add(t)
-    out: dict[str, float] = {}
-    for (template, begin), agreed in votes.items():
-        if len(agreed) < 2:
-            continue
-        own = x.words[template]
-        at = begin + np.arange(len(own))
-        inside = (at >= 0) & (at < len(words))
-        same = np.zeros(len(own), bool)
-        same[inside] = words[at[inside]] == own[inside]
-        if any(same[k : k + len(p)].all() for p in x.phrases[template] for k in range(len(own) - len(p) + 1) if (own[k : k + len(p)] == p).all()):
-            weight = x.weight[template]
-            score = float(weight[same].sum() / weight.sum()) if weight.sum() else float(same.mean())
-            out[x.labels[template]] = max(out.get(x.labels[template], 0.0), score)
+def matched(x: Index, w: Words) -> dict[tuple[int, str], float]:
+    """(row, label) -> best score of the templates that begin where one of their mandatory phrases stands."""
+    place, term = x.hits(w)
+    by_term: dict[int, np.ndarray] = {}
+    out: dict[tuple[int, str], float] = {}
+    for template, own in enumerate(x.words):
+        begins = [np.zeros((0, 2), np.int64)]
+        for k, size, rare in x.probes[template]:
+            if rare not in by_term:
+                by_term[rare] = place[term == rare]
+            first = by_term[rare] - (x.rank(own[k : k + size]).tolist().index(rare))
+            first = first[(first >= 0) & (first + size <= len(w.hash))]
+            first = first[w.doc[first] == w.doc[first + size - 1]]
+            for j in range(size):
+                first = first[w.hash[first + j] == own[k + j]]
+            begins.append(np.stack([w.doc[first], first - k], 1))
+        found = np.unique(np.concatenate(begins), axis=0)
+        weight = x.weight[template] if x.weight[template].sum() else np.ones(len(own))
+        for lo in range(0, len(found), 4096):  # bounds what is held at once
+            doc, begin = found[lo : lo + 4096].T
+            at = begin[:, None] + np.arange(len(own))
+            inside = (at >= w.first[doc][:, None]) & (at < w.first[doc + 1][:, None])
+            same = inside & (w.hash[np.where(inside, at, 0)] == own)
+            for d, score in zip(doc.tolist(), (same @ weight / weight.sum()).tolist()):
+                key = (d, x.labels[template])
+                out[key] = max(out.get(key, 0.0), score)
     return out
 
 
-def _scan(index, rarest: int, least: float):
+def _scan(index, least: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x: Index = index.value
         base = [(hashes(p), label) for p, label in PHRASES]
@@ -119,24 +126,20 @@ def _scan(index, rarest: int, least: float):
                     np.maximum.at(last, doc, word)
                     for d in np.unique(doc).tolist():
                         base_labels[d].add(label)
-                place, term = x.hits(w)
-                edge = np.searchsorted(w.doc[place], np.arange(b.n + 1))
-                labels, score = [], []
-                for d in range(b.n):
-                    s = slice(edge[d], edge[d + 1])
-                    found = {}
-                    if edge[d + 1] - edge[d] > 1:
-                        found = matched(x, w.hash[w.first[d] : w.first[d + 1]], place[s] - w.first[d], term[s], rarest)
-                    labels.append(",".join(sorted(base_labels[d] | {k for k, v in found.items() if v >= least})))
-                    score.append(max([*found.values(), 1.0 if base_labels[d] else 0.0]))
+                told, best = [set(s) for s in base_labels], [1.0 if s else 0.0 for s in base_labels]
+                for (d, label), v in matched(x, w).items():
+                    best[d] = max(best[d], v)
+                    if v >= least:
+                        told[d].add(label)
+                labels = [",".join(sorted(s)) for s in told]
                 none = n_base == 0
-                columns = [batch.column("doc_id").slice(b.lo, b.n), pa.array(w.count, pa.int64()), pa.array(n_base, pa.int64()), pa.array(first, pa.int64(), mask=none), pa.array(last, pa.int64(), mask=none), pa.array([",".join(sorted(s)) for s in base_labels]), pa.array(labels), pa.array(score, pa.float64())]
+                columns = [batch.column("doc_id").slice(b.lo, b.n), pa.array(w.count, pa.int64()), pa.array(n_base, pa.int64()), pa.array(first, pa.int64(), mask=none), pa.array(last, pa.int64(), mask=none), pa.array([",".join(sorted(s)) for s in base_labels]), pa.array(labels), pa.array(best, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
     return scan
 
 
-def license_scan(docs: DataFrame, templates=TEMPLATES, rarest: int = 8, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, templates=TEMPLATES, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row.
 
     score is the best template's, 1 if a base phrase stands in the text. Null and empty texts have no words,
@@ -148,7 +151,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, rarest: int = 8, least: f
     total = docs.count()
     idf = {r.term: float(np.log((1 + total) / (1 + r.n))) for r in counted}
     index = docs.sparkSession.sparkContext.broadcast(Index(templates, idf))
-    return docs.mapInArrow(_scan(index, rarest, least), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.mapInArrow(_scan(index, least), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
