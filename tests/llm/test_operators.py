@@ -162,6 +162,23 @@ def test_secrets(docs, rows, empty):
     assert [(r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in nameless] == [one[1:]] * 2
 
 
+def test_secret_holders(spark):
+    cases = {}  # value -> (repository, owner) of its holders, copied, live
+    for k, (holders, copied, live) in enumerate([
+        ([(r, "hot") for r in range(12)], True, False), ([(r, f"o{r % 2}") for r in range(10)], True, False), ([(r, None) for r in range(12)], True, False),
+        ([(r, "hot") for r in range(9)], False, True), ([(r, f"o{r}") for r in range(3)], True, False), ([(1, "a"), (2, "b")], False, True),
+        ([(1, None)], False, True), ([(1, None), (2, None)], False, True), ([(1, None), (2, None), (3, None)], False, False), ([(1, "a"), (2, "b"), (3, None)], False, False),
+        ([(None, None), (None, None)], False, True),
+    ]):
+        cases["Zk" + hashlib.sha256(bytes([k])).hexdigest()[:30].upper()] = (holders, copied, live)
+    rows = [(v, 100 * n + r if r is not None else None, f"see {v} {'again ' * (r is None) * k}", owner) for n, (v, (holders, _, _)) in enumerate(cases.items()) for k, (r, owner) in enumerate(holders)]
+    named = spark.createDataFrame([(d, f'{t}, token = "{v}"', o) for v, d, t, o in rows], "doc_id long, text string, source string")
+    bare = spark.createDataFrame([r[1:] for r in rows], "doc_id long, text string, source string")
+    want = lambda f: Counter((d, *f(v)) for v, d, *_ in rows)
+    assert Counter((r.doc_id, r.n_live, r.n_copied) for r in secrets.secret_scan(named).collect()) == want(lambda v: (2 * cases[v][2], int(cases[v][1])))
+    assert Counter((r.doc_id, r.spans, r.n_live) for r in secrets.secret_scan(bare).collect()) == want(lambda v: (f"generic:4:{4 + len(v)}" * cases[v][2], int(cases[v][2])))
+
+
 def test_quality(docs, rows, empty):
     want = []
     for d, x, *_ in rows:

@@ -2,8 +2,9 @@
 
 Matches are placed by the lengths of what stands between them (the same pattern splits the text), so spans are
 code points without leaving the JVM. Values are hashed and counted over the corpus by distinct repositories
-and owners: a value that many owners hold is a copied example, one that few hold and that looks random is
-taken for live. Besides the base kinds, long random-looking runs (`generic`) are candidates; they are reported
+and owners: a value that several owners or many repositories hold is a copied example; one that few hold and
+that looks random is taken for live. A repository without an owner may have one of its own, so a value in
+several of them is not known to be held by few, and is neither. Besides the base kinds, long random-looking runs (`generic`) are candidates; they are reported
 only where ownership says that they are live. Counts are combined before they are shuffled, so a value in a
 third of all texts is a few rows for each task.
 """
@@ -58,19 +59,23 @@ def _looks_random(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 9)
 
 
-def secret_scan(docs: DataFrame, copied: int = 3, generic: bool = True, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
+def secret_scan(docs: DataFrame, copied: int = 3, generic: bool = True, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_repos: int = 10) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied for each row.
 
-    A value of `copied` or more owners is a copied example; else it is live if it looks random. Null and empty
-    texts have no spans; a null owner or repository counts as none; rows of one id and text come out alike, those
+    A value of `copied` or more owners, or of `copied_repos` or more repositories, is a copied example. Else it is
+    live if it looks random and its owners, with one for each repository (without an id, each text) that names
+    none, are fewer than `copied`. Null and empty texts have no spans; a null repository counts as none; rows of one id and text come out alike, those
     without an id too; an empty table gives no rows; other columns are not read.
     """
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[repo_col].cast("string").alias("repo"), docs[owner_col].cast("string").alias("owner"))
     docs = docs.withColumn("text_id", F.xxhash64("text"))
     found = candidates(docs, generic).withColumn("secret", F.sha2("value", 256))
-    holders = found.groupBy("secret").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"))
+    unowned = F.when(F.col("owner").isNull(), F.coalesce("repo", F.col("text_id").cast("string")))
+    holders = found.groupBy("secret").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"), F.countDistinct(unowned).alias("unowned"))
     found = found.join(holders, "secret")
-    found = found.withColumn("copied", F.col("owners") >= copied).withColumn("live", ~F.col("copied") & _looks_random(F.col("value")))
+    found = found.withColumn("copied", (F.col("owners") >= copied) | (F.col("repos") >= copied_repos))
+    few = F.col("owners") + F.col("unowned") < copied
+    found = found.withColumn("live", ~F.col("copied") & few & _looks_random(F.col("value")))
     order = F.create_map(*[F.lit(x) for n, k in enumerate((*KINDS, GENERIC)) for x in (k[0], n)])
     span = F.struct("start", order[F.col("kind")].alias("order"), "end", "kind", "live", "copied")
     by_text = found.groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_set(span)).alias("all"))  # what one text holds
