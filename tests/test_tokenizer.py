@@ -1,7 +1,9 @@
 """The tokenizer engine: pinned cases, negative cases, and properties."""
 
+import hashlib
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from wordloom.operators.evaluate import metrics, parity, report, samples
 from wordloom.operators.external import backend_of, external_report, external_train, slug
 from wordloom.operators.segment import Segmenter, piece_usage
 from wordloom.operators.training import fit, pruned, reindexed, rescored, trimmed
+from wordloom.plans import queries
 from wordloom.plans.queries import EDGE_CASES, golden_frame, golden_model
 from wordloom.sources.corpus import from_iterable, jsonl_field, load, text_files
 
@@ -117,6 +120,34 @@ def test_training(spark):
     assert len(full.vocab) == 271 and all(e.score == -1e9 for e in full.vocab if byte_value(e.piece) is not None)
 
 
+def test_trained_queries_against_all_paths(spark, tmp_path):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["mura", "mu", "ra", "neza", "za", "né"]) for _ in range(rng.randint(1, 3))) for _ in range(25)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    model = queries.trained_model(spark, str(tmp_path))
+    entry = {e.piece: e for e in model.vocab if e.special is None}
+    assert model.trainer["vocab_size"] == 16_000 and max(map(len, entry)) > 4
+
+    def paths(text):
+        if not text:
+            yield ()
+        for n in range(1, min(len(text), 24) + 1):
+            if text[:n] in entry:
+                yield from ((text[:n], *rest) for rest in paths(text[n:]))
+
+    best = []
+    for t in texts:
+        marked = "▁" + t.replace(" ", "▁")
+        best.append(max(paths(marked), key=lambda x: (round(sum(entry[p].score for p in x), 6), -len(x), [len(p) for p in x])))
+    want = {k: (len(x), hashlib.md5(",".join(str(entry[p].id) for p in x).encode()).hexdigest()) for k, x in enumerate(best)}
+    registered = queries.queries()
+    assert {r.doc_id: (r.n_tokens, r.ids_md5) for r in registered["encode_trained"](spark, str(tmp_path)).collect()} == want
+    used = Counter(entry[p].id for x in best for p in x)
+    assert {r.id: r.usage for r in registered["usage_trained"](spark, str(tmp_path)).collect()} == used
+    m = registered["eval_trained"](spark, str(tmp_path)).first()
+    assert m.average_tokens_per_document == sum(map(len, best)) / 25 and m.unknown_rate == 0 and m.vocab_utilization == len(used) / len(model.vocab)
+
+
 def test_usage_and_metrics(spark):
     model = model_of(("▁Mu", -1.0), ("raho", -1.0), ("▁neza", -1.0))
     docs = from_iterable(spark, ["Muraho neza", "Muraho x", " "])

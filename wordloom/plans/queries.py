@@ -1,7 +1,8 @@
 """Queries over the whole `documents` table, one or more for each operator, with SQL for DuckDB.
 
 Segmentation is held against SQL with a model of single characters (the 40 most frequent ones), for which the
-best path is known; tests hold longer pieces against pinned cases.
+best path is known; tests hold longer pieces against pinned cases. The `_trained` queries have no SQL: they segment
+with a model that `fit` trains under the production settings over the whole table, and a test holds them against all paths.
 """
 
 from __future__ import annotations
@@ -106,12 +107,31 @@ def byte_pieces(spark, sf_dir):
     return byte_rows(spark, 4).select("id", "piece", "score", byte_value_column(F.col("piece")).alias("value"))
 
 
-def encode_documents(spark, sf_dir):
-    ids = encode_ids(char_model(spark, sf_dir))("normalized")
-    rows = _texts(spark, sf_dir).withColumn("ids", ids)
+def trained_model(spark: SparkSession, sf_dir: str) -> Model:
+    return fit(_docs(spark, sf_dir), TrainerConfig())
+
+
+def _encoded(spark: SparkSession, sf_dir: str, model: Model) -> DataFrame:
+    rows = _texts(spark, sf_dir).withColumn("ids", encode_ids(model)("normalized"))
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"))
 
 
+def encode_documents(spark, sf_dir):
+    return _encoded(spark, sf_dir, char_model(spark, sf_dir))
+
+
+def encode_trained(spark, sf_dir):
+    return _encoded(spark, sf_dir, trained_model(spark, sf_dir))
+
+
+def usage_trained(spark, sf_dir):
+    return piece_usage(_texts(spark, sf_dir), trained_model(spark, sf_dir))
+
+
+def eval_trained(spark, sf_dir):
+    return metrics(_docs(spark, sf_dir), trained_model(spark, sf_dir))
+
+
 def usage(spark, sf_dir):
     return piece_usage(_texts(spark, sf_dir), char_model(spark, sf_dir))
 
@@ -183,6 +203,7 @@ def train_small(spark, sf_dir):
 ALL = (
     normalize_documents, normalize_edge_cases, line_scan, char_inventory, seed_candidates_topk, seed_scores, byte_pieces, encode_documents, usage, rescore_vocab,
     score_delta, prune_vocab, final_trim, reindex_vocab, decode_roundtrip, decode_ids_join, eval_metrics, sample_segmentations, validate_model, parity_report, external_encode, train_small,
+    encode_trained, usage_trained, eval_trained,
 )
 
 
