@@ -10,7 +10,8 @@ crosses their border before either is consumed, which the merge ranks decide.
 
 Words begin and end in the start state, so white space resets the transducer, and a chunk's state map is
 (head, body, tail): what it does to a pending word, the tokens it emits whatever came before, and the word
-it leaves pending. These maps form a monoid; the chunks of a text compose through a prefix scan.
+it leaves pending. These maps form a monoid; the chunks of a text are composed pairwise, serially in one task.
+Head and tail are raw text, so a run without white space is counted whole. `scan` gives all prefixes (tests only).
 """
 
 from __future__ import annotations
