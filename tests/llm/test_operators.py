@@ -17,7 +17,7 @@ from wordloom.llm.jaccard_join import jaccard_groups
 from wordloom.llm.licenses import TEMPLATES, license_scan
 from wordloom.llm.line_dedup import dedupe_lines
 from wordloom.llm.packing import pack, shortest_pack_first
-from wordloom.llm.quality import Model, discounts, quality
+from wordloom.llm.quality import quality
 from wordloom.llm.substring_dedup import remove_repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, anchor string"
@@ -61,6 +61,9 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+words_of = words
+
+
 def by_id(df, *columns):
     return sorted((tuple(r[c] for c in ("doc_id", *columns)) for r in df.collect()), key=repr)
 
@@ -194,29 +197,80 @@ def test_quality(docs, rows, empty):
     assert quality(empty).count() == 0
 
 
-def test_kneser_ney():
-    rng = np.random.default_rng(4)
-    codes, counts = np.unique(rng.integers(0, 3, (400, 4)) @ (32 ** np.arange(3, -1, -1)), return_counts=True)
-    split = lambda c: tuple(c >> 5 * k & 31 for k in (3, 2, 1, 0))
-    levels = {4: {split(int(c)): int(n) for c, n in zip(codes, counts)}}
-    for n in (3, 2, 1):
+def kneser_ney(texts, order):
+    """p(n-gram) by the definition, from dictionaries."""
+    levels = {order: Counter(t[k : k + order] for t in texts for k in range(len(t) - order + 1))}
+    for n in range(order - 1, 0, -1):
         levels[n] = Counter(g[1:] for g in levels[n + 1])
-    lost = {n: discounts(np.array([*levels[n].values()])) for n in levels}
+    lost = {}
+    for n, level in levels.items():
+        m = [sum(c == k for c in level.values()) for k in (1, 2, 3, 4)]
+        y = m[0] / max(1, m[0] + 2 * m[1])
+        lost[n] = [0, *(min(max(k - (k + 1) * y * m[k] / m[k - 1], 0), k) for k in (1, 2, 3))] if all(m) else [0, 0.5, 1.0, 1.5]
+    after = {n: {} for n in levels}
+    for n, level in levels.items():
+        for g, c in level.items():
+            after[n].setdefault(g[:-1], []).append(c)
 
     def p(g):
         if not g:
-            return 1 / 32
-        own = {h: c for h, c in levels[len(g)].items() if h[:-1] == g[:-1]}
+            return 1 / (len(levels[1]) + 1)
+        own = after[len(g)].get(g[:-1])
         if not own:
             return p(g[1:])
-        d, total = lost[len(g)], sum(own.values())
-        c = own.get(g, 0)
-        return (c - d[min(c, 3)]) / total + sum(d[min(x, 3)] for x in own.values()) / total * p(g[1:])
-
-    table = Model(codes.astype(np.int32), counts).table()
-    for c in [*codes[:40].tolist(), *rng.integers(0, 32**4, 40).tolist(), *(rng.integers(0, 5, (40, 4)) @ (32 ** np.arange(3, -1, -1))).tolist()]:
-        assert np.isclose(np.exp(table[c]), p(split(c)), rtol=1e-4)
-    assert np.allclose(np.exp(table.reshape(-1, 32).astype(float)).sum(1), 1, atol=1e-3)
+        d, total, c = lost[len(g)], sum(own), levels[len(g)].get(g, 0)
+        return (c - d[min(c, 3)]) / total + sum(d[min(x, 3)] for x in own) / total * p(g[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("max_entries", [6_000_000, 700])
+def test_quality_bands(spark, max_entries):
+    rng = random.Random(12)
+    alphabets = {"en": "aeiou tnrs", "ru": "аеиоу тнрс", "ja": "のにをは日本語、"}
+    made = {k: [" ".join("".join(rng.choice(a.split()[0] + a[-3:]) for _ in range(rng.randint(2, 6))) for _ in range(6)).split() for _ in range(30)] for k, a in alphabets.items()}
+    rows = []
+    for k in range(330):
+        lang = ("en", "ru", "ja", "en", "xx", None)[k % 6]
+        words = made.get(lang, made["en"])
+        rows.append((k, " ".join(rng.choice(words[rng.randrange(30)]) for _ in range(rng.choice([12, 30, 70]))), lang))
+    odd = random.Random(3)
+    rows += [(1000 + k, " ".join("".join(odd.choice(letters) for _ in range(6)) for _ in range(40)), lang) for k, (lang, letters) in enumerate([("ru", "бвгджзклмпфхцчшщъыьэюя"), ("en", "bcdfghjklmpqvwxyz"), ("ja", "山川田中大小上下左右")] * 2)]
+    rows += [(2000, None, "en"), (2001, "", None), (2002, "a  1\t9", "en"), rows[0], rows[4]]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, model long, gram string").repartition(5)
+    fold = lambda t: re.sub(r"[\t\x0B\f\r]", " ", re.sub("[0-9]", "0", t or ""))
+    frequent = {x for x, n in Counter(r[2] for r in rows).items() if x and n >= 50}
+    model = lambda x: x if x in frequent else None
+    p = {m: kneser_ney([fold(t) for _, t, x in rows if model(x) == m], 5) for m in {model(r[2]) for r in rows}}
+    values = []
+    for d, t, lang in rows:
+        t, m = fold(t), model(lang)
+        n = max(0, len(t) - 4)
+        values.append((d, m, n.bit_length() - 1, -sum(np.log(p[m](t[k : k + 5])) for k in range(n)) / len(words_of(t)) if n >= 64 else None))
+
+    def band(own):
+        steps = sorted(round(v * 1000) for v in own)
+        low, high = (steps[-(-len(steps) * k // 4) - 1] / 1000 for k in (1, 3))
+        spread = max(high - low, 0.01) * 2.5
+        return low - spread, high + spread
+
+    want = {}
+    for d, m, size, v in values:
+        same = [x[3] for x in values if x[1] == m and x[3] is not None and x[2] == size]
+        low, high = band(same if len(same) >= 50 else [x[3] for x in values if x[1] == m and x[3] is not None]) if v is not None else (None, None)
+        want.setdefault(d, []).append((v, low, high))
+    got = quality(docs, max_entries=max_entries).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        v, low, high = want[r.doc_id][0]
+        assert (v is None) == (r.log_perplexity is None)
+        inside = True
+        if v is not None:
+            assert np.isclose(v, r.log_perplexity, rtol=1e-4) and np.isclose(low, r.low, atol=5e-3) and np.isclose(high, r.high, atol=5e-3)
+            inside = r.low <= r.log_perplexity <= r.high
+        assert r.kept == (not r.base_failed and inside)
+    kept = {r.doc_id: r.kept for r in got}
+    assert not any(kept[1000 + k] for k in range(6)) and sum(kept[k] for k in range(330)) > 300
 
 
 def test_line_dedup(docs, rows, empty):

@@ -1,116 +1,248 @@
 """Operator 6, quality rules with an n-gram perplexity band for each language.
 
-Text is read as bytes in 32 classes (letters, digits, blanks, line ends, punctuation, symbols, the rest), so a
-model of order 4 has at most 32 ** 4 n-grams whatever the corpus. Spark counts them over all texts, language by
-language (each task adds up its own counts first); modified Kneser-Ney discounts and continuation counts turn
-the counts into log-probabilities, which are broadcast as sorted arrays of n-gram codes with their values, and
-back-off weights by context. A text is rejected if its log-perplexity is outside its language's band, which
-spans `reach` interquartile ranges around the quartiles over all texts of that language.
+The language model is of code points: case and scripts are kept, digits are one sign, blanks are one sign. Its
+n-grams are whatever the corpus holds, so the model grows with it:
+
+1. Each task adds up the n-grams of order 5 of its texts, some at a time; Spark sums them by language.
+2. Continuation counts of the lower orders, modified Kneser-Ney discounts and back-off weights are group-bys and
+   joins of these tables. No n-gram is left out.
+3. N-grams and contexts become 64-bit hashes, stored as sorted arrays with their log-probabilities and weights. The
+   arrays are broadcast `max_entries` at a time: several languages share a pass, and a language beyond that is
+   dealt by the two signs before the predicted one into passes whose sums by text are added.
+4. A text's log-perplexity is by word, as by sign a cheap filler after each word would hide what the word costs. It
+   is rejected outside its language's band, `reach` interquartile ranges around the quartiles of the language's
+   texts of its length class (powers of two, as short texts scatter more; a class of few texts takes the band of the
+   whole language). The quartiles come from a histogram of thousandths, so they are exact and do not depend on the
+   order of merging.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import LOWER, NOT_SPACE, U64, Block, blocks, documents, mix, written
 
-ORDER, CLASSES = 4, 32
+ORDER = 5
+#: Distinct n-grams that a task adds up before it hands them on.
+HELD = 1_500_000
 REST = "other"
+STEP = 1000  # a band's edges are counted in thousandths
 
-CLASS = np.full(256, 27, np.uint8)  # bytes of characters beyond ASCII
-CLASS[:128] = 30
-CLASS[np.frombuffer(b" \t\x0b\x0c\r", np.uint8)] = 0
-CLASS[np.arange(97, 123)] = CLASS[np.arange(65, 91)] = np.arange(1, 27)
-CLASS[np.frombuffer(b"0123456789", np.uint8)] = 28
-CLASS[np.frombuffer(b".,;:!?'\"()-", np.uint8)] = 29
-CLASS[10] = 31
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[np.frombuffer(b" \t\x0b\x0c\r", np.uint8)] = 32
+_FOLD[np.frombuffer(b"0123456789", np.uint8)] = 48
+_GOLD, _BASE = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 
 
-def grams(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all runs of ORDER bytes, and each text's first one and one past its last."""
-    s = CLASS[b.data].astype(np.int32)
-    last = len(s) - ORDER + 1
-    if last <= 0:
-        return np.zeros(0, np.int32), np.zeros(b.n, np.int64), np.zeros(b.n, np.int64)
-    code = np.zeros(last, np.int32)
-    for k in range(ORDER):
-        code = (code << 5) | s[k : k + last]
-    begin = np.minimum(b.offsets[:-1], last)
-    return code, begin, np.clip(b.offsets[1:] - ORDER + 1, begin, last)
+class Signs:
+    """The code points of a block: their bytes' places, hashes of the n-grams that end at each, and each text's bounds."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data = _FOLD[data]
+        lead = (data & 0xC0) != 0x80
+        self.at = np.flatnonzero(lead)
+        before = np.r_[0, np.cumsum(lead)]
+        self.begin, self.end = before[offsets[:-1]], before[offsets[1:]]
+        point = self.data[self.at].astype(U64)
+        if len(self.data) and self.data.max() > 127:
+            padded, more = np.r_[self.data, np.zeros(3, np.uint8)], np.ones(len(self.at), bool)
+            for k in (1, 2, 3):  # the packed bytes stand for the code point
+                byte = padded[self.at + k]
+                more &= (byte & 0xC0) == 0x80
+                point = np.where(more, (point << U64(8)) | byte, point)
+        self.point = mix(point * _GOLD + U64(1))
+
+    def grams(self) -> list[np.ndarray]:
+        """By order from 1: the hash of the n-gram that ends at each place (0 where the block has no room for it)."""
+        out = [mix(self.point)]
+        for _ in range(ORDER - 1):
+            h = np.zeros(len(self.point), U64)
+            h[1:] = mix(out[-1][:-1] * _BASE + self.point[1:])
+            out.append(h)
+        return out
+
+    def whole(self, n: int) -> np.ndarray:
+        """Where n-grams end that lie in one text."""
+        inside = np.zeros(len(self.at) + 1, np.int32)
+        np.add.at(inside, np.minimum(self.begin + n - 1, self.end), 1)
+        np.add.at(inside, self.end, -1)
+        return np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+
+    def text(self, ends: np.ndarray, n: int) -> pa.Array:
+        """The n-grams that end there, as strings."""
+        edge = np.r_[self.at, len(self.data)]
+        start, stop = edge[ends - n + 1], edge[ends + 1]
+        offsets = np.r_[0, np.cumsum(stop - start)]
+        places = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - start, stop - start)
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(self.data[places].tobytes())])
+
+
+@cache
+def salt(model: str) -> U64:
+    """What sets a model's hashes apart."""
+    return mix(np.array([np.frombuffer(model.encode(), np.uint8).astype(U64) @ (_BASE ** np.arange(1, len(model.encode()) + 1, dtype=U64))], U64))[0]
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorting order, where each distinct key starts in it, and one place of each (np.unique sorts slower)."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return order, starts, order[starts]
 
 
-def _counts(models: list[str]):
+def _counts():
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {m: k for k, m in enumerate(models)}
-        total: dict[int, np.ndarray] = {}
+        keys, rows, held = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            table = pa.concat_tables(rows).combine_chunks()
+            order, starts, first = distinct(np.concatenate(keys))
+            n = np.add.reduceat(table.column("n").to_numpy()[order], starts) if len(starts) else np.zeros(0, np.int64)
+            some = table.take(pa.array(first))
+            keys.clear(), rows.clear()
+            return pa.RecordBatch.from_arrays([some.column("model").combine_chunks(), some.column("gram").combine_chunks(), pa.array(n)], names=["model", "gram", "n"])
+
         for batch in batches:
-            lang = np.array([place[x] for x in batch.column("model").to_pylist()], np.int64)
+            model = batch.column("model")
+            salts = np.array([salt(x) for x in model.to_pylist()], U64)
             for b in blocks(batch.column("text")):
-                code, begin, end = grams(b)
-                own = lang[b.lo : b.hi]
-                for m in np.unique(own):
-                    inside = np.zeros(len(code) + 1, np.int8)
-                    np.add.at(inside, begin[own == m], 1)
-                    np.add.at(inside, end[own == m], -1)
-                    some = code[np.cumsum(inside[:-1], dtype=np.int8) > 0]
-                    total[m] = total.get(m, 0) + np.bincount(some, minlength=CLASSES**ORDER)
-        for m, n in total.items():
-            at = np.flatnonzero(n)
-            columns = [pa.array(np.full(len(at), m), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["m", "gram", "n"])
+                s = Signs(b.data, b.offsets)
+                ends = s.whole(ORDER)
+                row = np.searchsorted(s.end, ends, "right")
+                key = mix(s.grams()[-1][ends] ^ salts[b.lo + row])
+                _, starts, first = distinct(key)
+                n, key = np.diff(np.r_[starts, len(key)]), key[first]
+                keys.append(key)
+                rows.append(pa.table([model.take(pa.array(b.lo + row[first])), s.text(ends[first], ORDER), pa.array(n)], names=["model", "gram", "n"]))
+                held += len(key)
+                if held > HELD:
+                    yield out()
+                    held = 0
+        if rows:
+            yield out()
 
     return count
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """What counts of 0, 1, 2 and 3 or more lose (Chen and Goodman, 1998); usual values where too few are seen."""
-    n = [max(int((counts == k).sum()), 0) for k in range(1, 5)]
-    if not all(n):
-        return np.array([0, 0.5, 1.0, 1.5])
-    y = n[0] / (n[0] + 2 * n[1])
-    return np.clip([0, *(k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3))], 0, [0, 1, 2, 3])
-
-
-class Model:
-    """Sorted codes of the seen n-grams with their log-probabilities, and back-off weights down to one class."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        full = np.zeros(CLASSES**ORDER)
-        full[codes] = counts
-        levels = [full]
-        for n in range(ORDER - 1, 0, -1):  # continuation counts: how many classes stand before
-            levels.append((levels[-1].reshape(CLASSES, -1) > 0).sum(0).astype(float))
-        p = np.full(CLASSES, 1 / CLASSES)
-        for n, c in enumerate(reversed(levels), 1):
-            d = discounts(c)
-            c = c.reshape(-1, CLASSES)
-            total = c.sum(1, keepdims=True)
-            lost = d[np.minimum(c, 3).astype(int)]
-            lower = np.tile(p.reshape(-1, CLASSES), (CLASSES if n > 1 else 1, 1))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                mixed = (c - lost) / total + lost.sum(1, keepdims=True) / total * lower
-                weight = np.where(total > 0, lost.sum(1, keepdims=True) / total, 1)
-            p = np.where(total > 0, mixed, lower)
-            self.lower, self.weight = lower, weight[:, 0]
-        self.codes = np.flatnonzero(full).astype(np.int32)
-        self.values = np.log(p.ravel()[self.codes]).astype(np.float32)
-        self.lower = np.log(self.lower[: CLASSES ** (ORDER - 2)]).astype(np.float32)  # by the last two classes of a context
-        self.weight = np.log(np.maximum(self.weight, 1e-9)).astype(np.float32)
-
-    def table(self) -> np.ndarray:
-        """Log-probability by code: seen ones from the sorted arrays, the rest by backing off."""
-        out = np.tile(self.lower, (CLASSES, 1)) + self.weight[:, None]
-        out = out.ravel()
-        out[self.codes] = self.values
-        return out
+def _hashes(contexts: bool):
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch.column("gram")):
+                s = Signs(b.data, b.offsets)
+                grams, last, size = s.grams(), s.end - 1, s.end - s.begin
+                key = np.choose(size - 1, [g[last] for g in grams])
+                before = last - (0 if contexts else 1)  # the two signs before the predicted one
+                deal = np.where(size >= (2 if contexts else 3), grams[1][np.maximum(before, 0)], U64(0))
+                rows = batch.slice(b.lo, b.n)
+                own = np.array([salt(x) for x in rows.column("model").to_pylist()], U64)
+                columns = [rows.column("model"), pa.array(mix(key ^ own).view(np.int64)), pa.array(deal.view(np.int64), mask=deal == 0), rows.column("value")]
+                yield pa.RecordBatch.from_arrays(columns, names=["model", "key", "deal", "value"])
+
+    return hashed
+
+
+def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(model, gram, value) of seen n-grams of all orders with their log-probabilities, and of contexts with the logs of
+    their back-off weights (gram "" is the empty context, its weight shared by all signs and one unseen sign)."""
+    levels = [counts.select("model", "gram", F.col("n").cast("long").alias("c"))]
+    for n in range(ORDER - 1, 0, -1):  # continuation counts: how many signs stand before
+        levels.append(written(levels[-1].groupBy("model", F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("c")), "grams"))
+    probabilities, weights, lower = [], [], None
+    for n, level in enumerate(reversed(levels), 1):
+        level = level.withColumn("context", F.substring("gram", 1, n - 1))
+        some = level.groupBy("model").agg(*[F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)], F.count("*").alias("kinds"))
+        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        known = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
+        lost = lambda k: F.when(known, F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0.0)), F.lit(0.0)), F.lit(float(k)))).otherwise(k / 2)
+        some = some.select("model", *[lost(k).alias(f"d{k}") for k in (1, 2, 3)], "kinds")
+        own = level.groupBy("model", "context").agg(F.sum("c").alias("total"), *[F.count_if(F.col("c") == k if k < 3 else F.col("c") >= k).alias(f"m{k}") for k in (1, 2, 3)])
+        own = own.join(some, "model")
+        rest = (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total")
+        own = own.select("model", "context", "total", "d1", "d2", "d3", "kinds", rest.alias("weight"))
+        joined = level.join(own, ["model", "context"])
+        d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        if lower is None:
+            below = 1 / (F.col("kinds") + 1)
+            weights.append(own.select("model", F.col("context").alias("gram"), (F.col("weight") * below).alias("value")))
+        else:
+            joined = joined.withColumn("ending", F.substring("gram", 2, n - 1)).join(lower.select("model", F.col("gram").alias("ending"), F.col("p").alias("below")), ["model", "ending"])
+            below = F.col("below")
+            weights.append(own.select("model", F.col("context").alias("gram"), F.col("weight").alias("value")))
+        lower = written(joined.select("model", "gram", ((F.col("c") - d) / F.col("total") + F.col("weight") * below).alias("p")), "grams")
+        probabilities.append(lower.select("model", "gram", F.log("p").alias("value")))
+    both = []
+    for parts in (probabilities, weights):
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        both.append(out)
+    return both[0], both[1].withColumn("value", F.log(F.greatest("value", F.lit(1e-12))))
+
+
+class Sorted:
+    """Values by 64-bit key: sorted arrays with a directory of the keys' leading bits."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order].astype(np.float32)
+        self.shift = U64(64 - max(1, int(len(keys)).bit_length()))
+        self.first = np.searchsorted(self.keys >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=U64)).astype(np.int32)
+        self.deep = int(np.diff(self.first).max(initial=0))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which are there, and the value of each (0 where it is not)."""
+        value, found = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        lead = (keys >> self.shift).astype(np.int64)
+        at, stop, left = self.first[lead], self.first[lead + 1], np.arange(len(keys))
+        for _ in range(self.deep):
+            open_ = at < stop
+            at, stop, left = at[open_], stop[open_], left[open_]
+            if not len(left):
+                break
+            hit = self.keys[at] == keys[left]
+            value[left[hit]], found[left[hit]] = self.values[at[hit]], True
+            at, stop, left = at[~hit] + 1, stop[~hit], left[~hit]
+        return found, value
+
+
+class Part:
+    """What one pass broadcasts: the n-grams and contexts of some models, or one of `parts` shares of a model's."""
+
+    def __init__(self, grams: Sorted, contexts: Sorted, unseen: dict[str, float], part: int = 0, parts: int = 1):
+        self.grams, self.contexts, self.unseen, self.part, self.parts = grams, contexts, unseen, part, parts
+
+    def score(self, s: Signs, models: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """By text: the sum of the negated log-probabilities of its n-grams, and how many there are."""
+        ends = s.whole(ORDER)
+        row = np.searchsorted(s.end, ends, "right")
+        grams = s.grams()
+        if self.parts > 1:
+            own = (grams[1][ends - 1] % U64(self.parts)) == self.part
+            ends, row = ends[own], row[own]
+        salts = np.array([salt(m) for m in models], U64)
+        total, left = np.zeros(len(ends), np.float32), np.arange(len(ends))
+        for n in range(ORDER, 0, -1):
+            own = salts[row[left]]
+            found, value = self.grams.find(mix(grams[n - 1][ends[left]] ^ own))
+            total[left] += value
+            left, own = left[~found], own[~found]
+            if not len(left):
+                break
+            if n > 1:
+                total[left] += self.contexts.find(mix(grams[n - 2][ends[left] - 1] ^ own))[1]
+            else:
+                total[left] += np.array([self.unseen[m] for m in models], np.float32)[row[left]]
+        return np.bincount(row, -total.astype(np.float64), minlength=len(models)), np.bincount(row, minlength=len(models))
 
 
 def _lines(text: bytes) -> int:
@@ -126,7 +258,7 @@ def rules(b: Block) -> dict[str, np.ndarray]:
     """The base counts of each text."""
     w = b.words()
     at, h = w.shingles(5)
-    key = mix(h + w.doc[at].astype(U64) * U64(0x9E3779B97F4A7C15))
+    key = mix(h + w.doc[at].astype(U64) * _GOLD)
     _, index, times = np.unique(key, return_inverse=True, return_counts=True)
     again = at[times[index] > 1]
     cover = np.zeros(len(w.doc) + 1, np.int64)
@@ -145,50 +277,102 @@ def rules(b: Block) -> dict[str, np.ndarray]:
 
 
 FACTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+SCORED = "doc_id long, text_id long, model string, " + ", ".join(f"{f} long" for f in FACTS) + ", bits double, n long"
 
 
-def _scores(models, least: int):
+def _scores(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {m: x.table() for m, x in models.value.items()}
+        part: Part = shared.value
         for batch in batches:
-            lang = batch.column("model").to_pylist()
+            models = batch.column("model").to_pylist()
             for b in blocks(batch.column("text")):
-                facts = rules(b)
-                code, begin, end = grams(b)
-                bits: list[float | None] = []
-                for k, (s, e) in enumerate(zip(begin.tolist(), end.tolist())):
-                    bits.append(float(-tables[lang[b.lo + k]][code[s:e]].mean(dtype=np.float64)) if e - s >= least else None)
+                facts, (bits, n) = rules(b), part.score(Signs(b.data, b.offsets), models[b.lo : b.lo + b.n])
                 rows = batch.slice(b.lo, b.n)
-                columns = [rows.column("doc_id"), rows.column("model"), *(pa.array(facts[f], pa.int64()) for f in FACTS), pa.array(bits, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "model", *FACTS, "log_perplexity"])
+                columns = [*(rows.column(c) for c in ("doc_id", "text_id", "model")), *(pa.array(facts[f], pa.int64()) for f in FACTS), pa.array(bits), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "model", *FACTS, "bits", "n"])
 
     return score
 
 
-def quality(docs: DataFrame, reach: float = 4.0, least: int = 64, max_models: int = 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def scored(docs: DataFrame, grams: DataFrame, contexts: DataFrame, max_entries: int) -> DataFrame:
+    """SCORED for each row of docs (doc_id, text_id, model, text)."""
+    spark = docs.sparkSession
+    table = {}
+    for name, df in (("grams", grams), ("contexts", contexts.filter("gram <> ''"))):
+        table[name] = written(df.mapInArrow(_hashes(name == "contexts"), "model string, key long, deal long, value double"), name)
+    unseen = {r.model: r.value for r in contexts.filter("gram = ''").collect()}  # a row a model
+    sizes: dict[str, int] = {}
+    for df in table.values():
+        for r in df.groupBy("model").count().collect():
+            sizes[r.model] = sizes.get(r.model, 0) + r["count"]
+    passes: list[tuple[list[str], int]] = []  # models, parts
+    for m in sorted(sizes, key=lambda m: (sizes[m], m)):
+        if passes and passes[-1][1] == 1 and sum(sizes[x] for x in passes[-1][0]) + sizes[m] <= max_entries:
+            passes[-1][0].append(m)
+        else:
+            passes.append(([m], -(-sizes[m] // max_entries)))
+
+    def of(models: list[str], part: int, parts: int):
+        arrays = []
+        for df in table.values():
+            some = df.filter(F.col("model").isin(models))
+            if parts > 1:  # % of the unsigned value, which Spark has not: from its two halves
+                high, low = F.shiftrightunsigned("deal", 32), F.col("deal").bitwiseAND(0xFFFFFFFF)
+                some = some.filter(F.col("deal").isNull() | (((high % parts) * ((1 << 32) % parts) + low) % parts == part))
+            rows = some.select("key", "value").toArrow()  # about max_entries rows
+            arrays.append(Sorted(rows.column("key").to_numpy().view(U64), rows.column("value").to_numpy()))
+        return spark.sparkContext.broadcast(Part(*arrays, {m: unseen[m] for m in models if m in unseen}, part, parts))
+
+    out = docs.filter(~F.col("model").isin(list(sizes))).mapInArrow(_scores(spark.sparkContext.broadcast(Part(Sorted(np.zeros(0, U64), np.zeros(0)), Sorted(np.zeros(0, U64), np.zeros(0)), {}))), SCORED)
+    for models, parts in passes:
+        rows = docs.filter(F.col("model").isin(models))
+        if parts == 1:
+            out = out.unionByName(rows.mapInArrow(_scores(of(models, 0, 1)), SCORED))
+            continue
+        each = rows.dropDuplicates(["doc_id", "text_id"])
+        sums = written(each.mapInArrow(_scores(of(models, 0, parts)), SCORED), "sums")
+        for k in range(1, parts):
+            sums = sums.unionByName(written(each.mapInArrow(_scores(of(models, k, parts)), SCORED), "sums"))
+        sums = sums.groupBy("doc_id", "text_id", "model").agg(*[F.max(f).alias(f) for f in FACTS], F.sum("bits").alias("bits"), F.sum("n").alias("n"))
+        own = rows.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text"))
+        out = out.unionByName(own.join(sums, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_text") == F.col("text_id"))).drop("_id", "_text"))
+    return out
+
+
+def quartiles(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """by, low, high, texts: the least values, in steps, at or below which a quarter and three quarters of the rows lie."""
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.round(F.col(value) * STEP).cast("long").alias("step")).agg(F.count("*").alias("n"))
+    own = Window.partitionBy(*by)  # a row for each step
+    counted = counted.withColumn("upto", F.sum("n").over(own.orderBy("step"))).withColumn("all", F.sum("n").over(own))
+    least = [F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("step"))) / STEP for k in (1, 3)]
+    return counted.groupBy(*by).agg(least[0].alias("low"), least[1].alias("high"), F.sum("n").alias("texts"))
+
+
+def quality(docs: DataFrame, reach: float = 2.5, least: int = 64, least_texts: int = 50, max_entries: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, the base counts, base_failed, log_perplexity, low, high, kept for each row.
 
-    The `max_models` languages with most rows have a model each, all others (null too) share one. A text of
-    fewer than `least` n-grams has no perplexity and is judged by the base rules alone. Null and empty texts
-    have no words and fail the base rules. Repeated rows are judged alike; an empty table gives no rows; other
-    columns are not read.
+    Each language of `least_texts` texts or more has a model and a band of its own; the texts of all others, and of
+    null, share one. A text of fewer than `least` n-grams has no perplexity and is judged by the base rules alone.
+    Null and empty texts have no words and fail the base rules. Repeated rows are judged alike (and counted each); an
+    empty table gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
-    by_lang = docs.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_models).collect()
-    own = [r["lang"] for r in by_lang]
-    models = [f"={x}" for x in own] + [REST]
-    docs = docs.withColumn("model", F.when(F.col("lang").isin(own), F.concat(F.lit("="), "lang")).otherwise(REST)).drop("lang")
-    counted = docs.select("model", "text").mapInArrow(_counts(models), "m int, gram int, n long").groupBy("m", "gram").agg(F.sum("n").alias("n")).toArrow()
-    m, gram, n = (counted.column(c).to_numpy() for c in ("m", "gram", "n"))  # max_models * 32 ** 4 rows at most
-    made = spark.sparkContext.broadcast({x: Model(gram[m == k], n[m == k]) for k, x in enumerate(models)})
-    schema = "doc_id long, model string, " + ", ".join(f"{f} long" for f in FACTS) + ", log_perplexity double"
-    scored = written(docs.select("doc_id", "model", "text").mapInArrow(_scores(made, least), schema), "scored")
-    quartiles = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10000))
-    bands = scored.groupBy("model").agg(quartiles.alias("q"))
-    spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.01)) * reach
-    bands = bands.select("model", (F.col("q")[0] - spread).alias("low"), (F.col("q")[1] + spread).alias("high"))
-    judged = scored.join(F.broadcast(bands), "model", "left")  # max_models + 1 rows
+    by_lang = docs.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") >= least_texts).collect()
+    model = F.when(F.col("lang").isin([r["lang"] for r in by_lang]), F.concat(F.lit("="), "lang")).otherwise(REST)
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_id"), model.alias("model"), "text")
+    counts = docs.select("model", "text").mapInArrow(_counts(), "model string, gram binary, n long")
+    counts = counts.groupBy("model", F.col("gram").cast("string").alias("gram")).agg(F.sum("n").alias("n"))
+    grams, contexts = kneser_ney(written(counts, "grams"))
+    rows = scored(docs, grams, contexts, max_entries)
+    some = (F.col("n") >= least) & (F.col("n_words") > 0)
+    rows = rows.withColumn("log_perplexity", F.when(some, F.col("bits") / F.col("n_words"))).withColumn("size", F.when(some, F.floor(F.log2("n")).cast("int")))
+    rows = written(rows.drop("bits", "n", "text_id"), "scored")
+    whole = quartiles(rows, "log_perplexity", "model").select("model", *[F.col(c).alias(f"all_{c}") for c in ("low", "high")])
+    bands = quartiles(rows, "log_perplexity", "model", "size").join(whole, "model")
+    low, high = [F.when(F.col("texts") >= least_texts, F.col(c)).otherwise(F.col(f"all_{c}")) for c in ("low", "high")]
+    spread = F.greatest(high - low, F.lit(0.01)) * reach
+    bands = bands.select("model", "size", (low - spread).alias("low"), (high + spread).alias("high"))
+    judged = rows.join(bands, ["model", "size"], "left")
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return judged.select("doc_id", *FACTS, failed.alias("base_failed"), "log_perplexity", "low", "high", (~failed & inside).alias("kept"))
