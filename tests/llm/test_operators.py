@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wordloom.llm import decontamination, language, secrets, token_counts
@@ -15,7 +16,7 @@ from wordloom.llm.automaton import SuffixAutomaton, covered
 from wordloom.llm.components import components
 from wordloom.llm.jaccard_join import jaccard_groups
 from wordloom.llm.licenses import TEMPLATES, license_scan
-from wordloom.llm.line_dedup import dedupe_lines
+from wordloom.llm.line_dedup import dedupe_lines, one_word_apart
 from wordloom.llm.packing import pack, shortest_pack_first
 from wordloom.llm.quality import quality
 from wordloom.llm.substring_dedup import remove_repeats
@@ -178,7 +179,9 @@ def test_secret_holders(spark):
     named = spark.createDataFrame([(d, f'{t}, token = "{v}"', o) for v, d, t, o in rows], "doc_id long, text string, source string")
     bare = spark.createDataFrame([r[1:] for r in rows], "doc_id long, text string, source string")
     want = lambda f: Counter((d, *f(v)) for v, d, *_ in rows)
-    assert Counter((r.doc_id, r.n_live, r.n_copied) for r in secrets.secret_scan(named).collect()) == want(lambda v: (2 * cases[v][2], int(cases[v][1])))
+    assert Counter((r.doc_id, r.n_live, r.n_copied) for r in secrets.secret_scan(named).collect()) == want(lambda v: (int(cases[v][2]), int(cases[v][1])))
+    held = {v: (len({o for _, o in h if o}), len({r for r, _ in h if r is not None})) for v, (h, _, _) in cases.items()}
+    assert Counter((r.doc_id, r.most_owners, r.most_repos) for r in secrets.secret_scan(named).collect()) == want(lambda v: held[v])
     assert Counter((r.doc_id, r.spans, r.n_live) for r in secrets.secret_scan(bare).collect()) == want(lambda v: (f"generic:4:{4 + len(v)}" * cases[v][2], int(cases[v][2])))
 
 
@@ -273,8 +276,33 @@ def test_quality_bands(spark, max_entries):
     assert not any(kept[1000 + k] for k in range(6)) and sum(kept[k] for k in range(330)) > 300
 
 
-def test_line_dedup(docs, rows, empty):
-    least = 8
+def test_line_distance(spark):
+    rng = random.Random(2)
+    made = [[rng.choice("abc") for _ in range(rng.randint(1, 6))] for _ in range(150)]
+    pairs = [(a, b) for a in made[:40] for b in made[40:]]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    got = spark.createDataFrame(pairs, "a array<string>, b array<string>").withColumn("near", one_word_apart(F.col("a"), F.col("b"))).collect()
+    assert all(r.near == (distance(r.a, r.b) <= 1) for r in got) and sum(r.near for r in got) > 100
+
+
+def test_line_dedup_of_odd_columns(spark):
+    names = ("_exact", "_near", "_doc_id", "_text_id", "row", "lines", "kept", "own_id", "_n_near")
+    docs = spark.createDataFrame([(k, "one two three four five\n\nsix", *[k] * len(names)) for k in (1, 2)] + [(None, "six", *[3] * len(names))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = {r.doc_id: r for r in dedupe_lines(docs).collect()}
+    assert out[1].text == "one two three four five\n\nsix" and out[2].text == "" and out[None].text == "six"
+    assert out[2]._exact == out[2].row == 2 and out[2]._n_near == 0 and out[2]._n_exact == 2
+
+
+@pytest.mark.parametrize("least", [8, 4, 2])
+def test_line_dedup(docs, rows, empty, least):
     split = lambda x: [tuple(words(line)) for line in x.split("\n")]
     places = sorted({(d, x) for d, x, *_ in rows if x})
     order, first = [], {}

@@ -6,8 +6,11 @@ a partition's texts are never all held at once and no Python object is made for
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,16 +32,37 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_folders: dict[str, str] = {}
+_tables: dict[int, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a local one is set once."""
+    """A folder of this application in spark.checkpoint.dir, removed when the driver ends; where the setting is unset
+    (tests), a local one is set once."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="wordloom-"))
-        folder = sc.getCheckpointDir()
-    return folder
+    if sc.applicationId not in _folders:
+        folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="wordloom-"))
+            folder = sc.getCheckpointDir()
+        _folders[sc.applicationId] = f"{folder}/wordloom-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
+        atexit.register(clear, spark)
+    return _folders[sc.applicationId]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)  # PySpark has no call of its own for this
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all tables that this application has written; what still reads them fails."""
+    with contextlib.suppress(Exception):  # at the driver's end Spark may have ended before
+        if folder := _folders.pop(spark.sparkContext.applicationId, None):
+            _remove(spark, folder)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -51,7 +75,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
         df.select("*").write.parquet(path)  # a new plan, which sees the setting
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = path
+    weakref.finalize(out, _tables.pop, id(out), None)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes what `written` gave, once nothing reads it any more."""
+    for df in tables:
+        if path := _tables.pop(id(df), None):
+            _remove(df.sparkSession, path)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

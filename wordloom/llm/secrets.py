@@ -60,7 +60,10 @@ def _looks_random(value: Column) -> Column:
 
 
 def secret_scan(docs: DataFrame, copied: int = 3, generic: bool = True, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_repos: int = 10) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied for each row.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, most_owners, most_repos for each row.
+
+    n_live and n_copied count the distinct values of the spans, most_owners and most_repos are the largest counts of
+    one of them.
 
     A value of `copied` or more owners, or of `copied_repos` or more repositories, is a copied example. Else it is
     live if it looks random and its owners, with one for each repository (without an id, each text) that names
@@ -77,7 +80,7 @@ def secret_scan(docs: DataFrame, copied: int = 3, generic: bool = True, id_col:
     few = F.col("owners") + F.col("unowned") < copied
     found = found.withColumn("live", ~F.col("copied") & few & _looks_random(F.col("value")))
     order = F.create_map(*[F.lit(x) for n, k in enumerate((*KINDS, GENERIC)) for x in (k[0], n)])
-    span = F.struct("start", order[F.col("kind")].alias("order"), "end", "kind", "live", "copied")
+    span = F.struct("start", order[F.col("kind")].alias("order"), "end", "kind", "live", "copied", "secret", "owners", "repos")
     by_text = found.groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_set(span)).alias("all"))  # what one text holds
     base = F.filter("all", lambda x: x["kind"] != "generic")
     by_text = by_text.withColumn("base", base)
@@ -85,14 +88,16 @@ def secret_scan(docs: DataFrame, copied: int = 3, generic: bool = True, id_col:
     by_text = by_text.withColumn("kept", F.filter("all", lambda x: (x["kind"] != "generic") | (x["live"] & apart(x))))
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda c, f: F.size(F.filter(c, f)).cast("long")
+    values = lambda c: F.size(F.array_distinct(F.transform(F.filter("kept", lambda x: x[c]), lambda x: x["secret"]))).cast("long")
+    most = lambda c: F.array_max(F.transform("kept", lambda x: x[c])).alias(f"most_{c}")
     by_text = by_text.select(
         "doc_id", "text_id", *[count("base", _of_kind(k[0])).alias(f"n_{k[0]}") for k in KINDS],
-        joined("base").alias("base_spans"), joined("kept").alias("spans"), count("kept", lambda x: x["live"]).alias("n_live"), count("kept", lambda x: x["copied"]).alias("n_copied"),
+        joined("base").alias("base_spans"), joined("kept").alias("spans"), values("live").alias("n_live"), values("copied").alias("n_copied"), most("owners"), most("repos"),
     )
     by_text = by_text.withColumnsRenamed({"doc_id": "own_id", "text_id": "own_text"})
     out = docs.select("doc_id", "text_id").join(by_text, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_id") == F.col("own_text")), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    return out.select("doc_id", zero("n_assign"), zero("n_access"), zero("n_hex"), F.sha2(F.coalesce(F.col("base_spans"), F.lit("")), 256).alias("base_sha256"), F.coalesce(F.col("spans"), F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"))
+    return out.select("doc_id", zero("n_assign"), zero("n_access"), zero("n_hex"), F.sha2(F.coalesce(F.col("base_spans"), F.lit("")), 256).alias("base_sha256"), F.coalesce(F.col("spans"), F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"), zero("most_owners"), zero("most_repos"))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,21 +13,29 @@ SELECT texts.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIG
 FROM texts LEFT JOIN kept ON texts.doc_id = kept.doc_id
 """
 
+def _any_case(pattern: str) -> str:
+    """A-Z and a-z alike, and no other letters (a fold of DuckDB's goes beyond ASCII)."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in pattern)
+
+
 SECRET_SCAN = r"""
 WITH texts AS (SELECT row_number() OVER () AS nr, doc_id, source, coalesce(text, '') AS t FROM documents),
 kinds AS (SELECT * FROM (VALUES
-  ('assign', 0, 6, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  ('assign', 0, 6, '(KEYWORDS)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
   ('access', 1, 20, '(AKIA[A-Z0-9]+)'), ('hex', 2, 24, '([0-9a-f]+)'), ('generic', 3, 24, '([A-Za-z0-9+/_=-]{24,})')) AS k(kind, nth, least, pattern)),
 cut AS (
-  SELECT nr, doc_id, source, kind, nth, least, string_split_regex(t, pattern) AS gaps, regexp_extract_all(t, pattern, 0) AS found,
+  SELECT nr, kind, nth, least, string_split_regex(t, pattern) AS gaps, regexp_extract_all(t, pattern, 0) AS found,
     CASE WHEN kind = 'assign' THEN regexp_extract_all(t, pattern, 2) ELSE regexp_extract_all(t, pattern, 1) END AS vals
   FROM texts, kinds),
-placed AS (SELECT nr, doc_id, source, kind, nth, least, unnest(gaps[1 : len(found)]) AS gap, unnest(found) AS f, unnest(vals) AS v, generate_subscripts(found, 1) AS i FROM cut),
+placed AS (SELECT nr, kind, nth, least, unnest(gaps[1 : len(found)]) AS gap, unnest(found) AS f, unnest(vals) AS v, generate_subscripts(found, 1) AS i FROM cut),
 ended AS (SELECT *, sum(length(gap) + length(f)) OVER (PARTITION BY nr, kind ORDER BY i) AS e FROM placed),
-spans AS (SELECT nr, source, doc_id, kind, nth, (e - length(f))::BIGINT AS s, e::BIGINT AS e, v FROM ended WHERE length(v) >= least),
-held AS (SELECT v, count(DISTINCT source) >= 3 AS copied FROM spans GROUP BY v),
+spans AS (SELECT nr, kind, nth, (e - length(f))::BIGINT AS s, e::BIGINT AS e, v FROM ended WHERE length(v) >= least),
+held AS (
+  SELECT v, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repos, count(DISTINCT CASE WHEN source IS NULL THEN coalesce(doc_id::VARCHAR, md5(t)) END) AS unowned
+  FROM spans JOIN texts USING (nr) GROUP BY v),
 judged AS (
-  SELECT spans.*, copied, NOT copied AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 9 AS live
+  SELECT spans.*, owners, repos, owners >= 3 OR repos >= 10 AS copied,
+    NOT copied AND owners + unowned < 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 9 AS live
   FROM spans JOIN held USING (v)),
 base AS (SELECT * FROM judged WHERE kind <> 'generic'),
 kept AS (
@@ -36,12 +44,13 @@ kept AS (
 told AS (
   SELECT nr, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, nth) FILTER (kind <> 'generic') AS base,
-    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, nth) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, nth) AS spans, count(DISTINCT v) FILTER (live) AS n_live, count(DISTINCT v) FILTER (copied) AS n_copied,
+    max(owners) AS most_owners, max(repos) AS most_repos
   FROM kept GROUP BY nr)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
 FROM texts LEFT JOIN told USING (nr)
-"""
+""".replace("KEYWORDS", _any_case("password|passwd|secret|token|api_?key"))
 
 LINE_DEDUP = r"""
 WITH texts AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
@@ -51,7 +60,7 @@ worded AS (SELECT doc_id, place, array_to_string(ws, ' ') AS line, ws FROM lines
 firsts AS (SELECT line, min({'doc_id': doc_id, 'place': place}) AS f, any_value(ws) AS ws FROM worded GROUP BY line),
 halves AS (
   SELECT line, f, ws, unnest([md5('0 ' || n || ' ' || array_to_string(ws[1 : n // 2], ' ')), md5('1 ' || n || ' ' || array_to_string(ws[len(ws) - n + n // 2 + 1 :], ' '))]) AS half
-  FROM (SELECT *, unnest([len(ws), len(ws) - 1]) AS n FROM firsts WHERE len(ws) >= 8)),
+  FROM (SELECT *, unnest([len(ws), len(ws) - 1]) AS n FROM firsts WHERE len(ws) >= 4)),
 likely AS (SELECT DISTINCT line, f, ws FROM halves WHERE half IN (SELECT half FROM halves GROUP BY half HAVING count(DISTINCT line) > 1)),
 variants AS (SELECT line, f, i, md5(array_to_string(ws[1 : i - 1] || ws[i + 1 :], ' ')) AS v FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM likely)),
 same AS (SELECT i, v, min(f) AS m FROM variants GROUP BY i, v),
