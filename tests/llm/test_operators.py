@@ -399,6 +399,41 @@ def test_language(spark, docs, empty):
     assert language.predict(docs, language.fit(empty)).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_of_long_texts():
+    labelled = [(prose(40, lang, seed=k), lang) for k in range(30) for lang in ("en", "fr")]
+    field = language.train(labelled, sequences=60, rounds=15)
+    texts = [language.words_of(" ".join(prose(50, ("en", "fr")[k % 2], seed=k + n) for k in range(n))) for n in (0, 1, 2, 3, 5, 20)] + [["the"]]
+    for width in (128, 7, 1):
+        got = language.label_words(language.Emissions(field), texts, width)
+        for words, p in zip(texts, got):
+            if words:
+                whole = language.forward_backward(field.emissions(words)[None].astype(float), field.transitions, np.array([len(words)]))[0][0]
+                assert np.allclose(p, whole, atol=2e-4) and len(words) == len(p)
+    a, b = "x" * 50 + "é" + "y" * 50, "x" * 50 + "ü" + "y" * 50
+    assert set(language.features(a, {})) != set(language.features(b, {}))
+
+
+def test_forty_languages(spark):
+    rng = random.Random(4)
+    made = {f"l{k:02d}": ["".join(rng.choice("bcdfghjklmnpqrstvwxyz") + rng.choice("aeiouy") for _ in range(3)) for _ in range(25)] for k in range(40)}
+    rows = [(n, " ".join(rng.choice(made[lang]) for _ in range(40)), lang) for n, lang in enumerate(sorted(made) * 8)]
+    rows += [(10_000 + n, rows[0][1], rows[0][2]) for n in range(2000)]  # copies of one text push nobody out
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    field = language.fit(docs.filter("doc_id >= 40"), per_label=20, sequences=300, rounds=12)
+    assert field.labels == sorted(made)
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs.filter("doc_id < 40"), field).collect()}
+    assert sum(got[n] == rows[n][2] for n in range(40)) >= 38
+
+
+def test_language_query(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lang = {r.doc_id: r.lang for r in table.collect()}
+    out = language.op9_language_id(spark, "/root/testdata/sf0.001").collect()
+    assert len(out) == len(lang) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
+    held = [r.lang_pred == lang[r.doc_id] for r in out if r.held_out and lang[r.doc_id]]
+    assert sum(held) / len(held) > 0.95
+
+
 def groups(rows, shingle, percent):
     sets = []
     for d, x, *_ in rows:

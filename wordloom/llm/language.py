@@ -5,9 +5,11 @@ which languages' lexicons hold it) give scores by label, learned transitions tie
 forward-backward algorithm gives each word's label probabilities, so that code-switched text is told apart
 word by word. A text's language is the label with most probability mass, words weighing by their length.
 
-The field is trained on the driver, on a bounded sample of the labelled rows (`per_label` a label, texts up to
-`max_bytes`); texts of one language are cut and spliced into code-switched sequences for the transitions.
-Prediction covers all words of all texts, in blocks of `STEPS` words.
+The field is trained on the driver, on a bounded sample of the labelled rows (`per_label` different texts of every
+label, of up to `max_bytes`); texts of one language are cut and spliced into code-switched sequences for the
+transitions. Prediction covers all words of all texts. Blocks of `STEPS` words are worked on side by side: products
+of their transition matrices carry the forward and backward messages over their borders, so the result is that of
+the whole chain.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import documents
@@ -39,7 +41,7 @@ def words_of(text: str | None) -> list[str]:
 
 def features(word: str, lexicons: dict[str, list[int]]) -> list[int]:
     """Hashed: affixes and n-grams of up to three characters, the word, and the labels whose lexicon has it."""
-    w = f"<{word[:40]}>" if len(word) <= 40 else f"<{word[:20]}{word[-20:]}>"
+    w = f"<{word}>"
     parts = {w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1)}
     parts |= {f"p{word[:n]}" for n in (1, 2, 3)} | {f"s{word[-n:]}" for n in (1, 2, 3)} | {f"w{word}"}
     parts |= {f"l{k}" for k in lexicons.get(word, ())}
@@ -80,25 +82,31 @@ def forward_backward(scores: np.ndarray, transitions: np.ndarray, length: np.nda
     p /= p.sum(2, keepdims=True)
     pairs = np.zeros((labels, labels))
     for k in range(steps - 1):
-        both = ahead[:, k, :, None] * t * (e[:, k + 1] * back[:, k + 1])[:, None, :]
-        both /= both.sum((1, 2), keepdims=True)
-        pairs += both[live[:, k + 1]].sum(0)
+        later = e[:, k + 1] * back[:, k + 1]
+        each = live[:, k + 1] / ((ahead[:, k] @ t) * later).sum(1)
+        pairs += t * ((ahead[:, k] * each[:, None]).T @ later)
     return p, pairs
 
 
-def probabilities(scores: np.ndarray, transitions: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The same without counts: all that prediction needs."""
-    rows, steps, labels = scores.shape
+def scaled(scores: np.ndarray, transitions: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Step by step: factors of the words' labels (1 beyond a row's end), which steps are live, and the transitions'."""
     e = np.ascontiguousarray(np.exp(scores - scores.max(2, keepdims=True)).transpose(1, 0, 2))
-    live = np.arange(steps)[:, None] < length[None, :]
+    live = np.arange(scores.shape[1])[:, None] < length[None, :]
     e[~live] = 1
-    t = np.exp(transitions - transitions.max()).astype(e.dtype)
+    return e, live, np.exp(transitions - transitions.max()).astype(e.dtype)
+
+
+def probabilities(scores: np.ndarray, transitions: np.ndarray, length: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+    """Label probabilities, without the counts. before: by row, what the words in front give to the first one's labels;
+    after: what the words behind give to the last one's."""
+    e, live, t = scaled(scores, transitions, length)
+    steps, rows, labels = e.shape
     ahead = np.empty_like(e)
-    ahead[0] = e[0]
+    ahead[0] = e[0] if before is None else e[0] * before
     for k in range(1, steps):
         a = (ahead[k - 1] @ t) * e[k]
         ahead[k] = a / a.sum(1, keepdims=True)
-    back = np.full((rows, labels), 1 / labels, e.dtype)
+    back = np.full((rows, labels), 1 / labels, e.dtype) if after is None else after.astype(e.dtype)
     for k in range(steps - 1, -1, -1):
         if k < steps - 1:
             b = (e[k + 1] * back) @ t.T
@@ -107,6 +115,21 @@ def probabilities(scores: np.ndarray, transitions: np.ndarray, length: np.ndarra
     return (ahead / ahead.sum(2, keepdims=True)).transpose(1, 0, 2)
 
 
+def transfer(scores: np.ndarray, transitions: np.ndarray, length: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """[rows, labels, labels]: what each row of words makes of the message in front of it; begins: rows without one."""
+    e, live, t = scaled(scores, transitions, length)
+    steps, rows, labels = e.shape
+    out = np.broadcast_to(np.eye(labels, dtype=e.dtype), (rows, labels, labels))
+    for k in range(steps):
+        new = (out.reshape(-1, labels) @ t).reshape(rows, labels, labels)
+        if k == 0:
+            new = np.where(begins[:, None, None], out, new)
+        new = new * e[k][:, None, :]
+        new /= new.max((1, 2), keepdims=True)
+        out = np.where(live[k][:, None, None], new, out)
+    return out
+
+
 def train(rows: list[tuple[str, str]], seed: int = 7, sequences: int = 1500, steps: int = 64, rounds: int = 40, rate: float = 0.3, lexicon: int = 1000) -> Field:
     """Of (text, label): regularised likelihood of code-switched sequences, by Adagrad."""
     labels = sorted({label for _, label in rows})
@@ -194,21 +217,48 @@ def emissions_of(field: Field) -> Emissions:
     return _made["kept"]
 
 
-def label_words(emissions: Emissions, texts: list[list[str]]) -> list[np.ndarray]:
+def label_words(emissions: Emissions, texts: list[list[str]], width: int = STEPS) -> list[np.ndarray]:
     """Each text's label probabilities by word."""
     sizes = [len(t) for t in texts]
-    scores = emissions.of([w for t in texts for w in t])
-    first = np.cumsum([0, *sizes])
-    begin = np.concatenate([np.arange(s, e, STEPS) for s, e in zip(first[:-1], first[1:])]) if len(scores) else np.zeros(0, np.int64)
-    length = np.minimum(STEPS, np.repeat(first[1:], [-(-n // STEPS) for n in sizes]) - begin)
+    scores, transitions = emissions.of([w for t in texts for w in t]), emissions.field.transitions
+    first, labels = np.cumsum([0, *sizes]), len(emissions.field.labels)
+    per = np.array([-(-n // width) for n in sizes], np.int64)
+    nth = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    begin = np.repeat(first[:-1], per) + nth * width
+    length = np.minimum(width, np.repeat(first[1:], per) - begin)
+    before, after = np.ones((len(begin), labels), np.float32), np.full((len(begin), labels), 1 / labels, np.float32)
+
+    def rows(some: np.ndarray) -> tuple[np.ndarray, int]:
+        steps = int(length[some].max())
+        return np.minimum(begin[some][:, None] + np.arange(steps), len(scores) - 1), steps
+
+    def dealt(of: np.ndarray) -> Iterator[np.ndarray]:
+        of = of[np.argsort(length[of], kind="stable")]
+        yield from (some for some in np.array_split(of, max(1, len(of) // 2048)) if len(some))
+
+    several = np.flatnonzero(np.repeat(per, per) > 1)
+    if len(several):
+        matrix = np.zeros((len(begin), labels, labels), np.float32)
+        for some in dealt(several):
+            matrix[some] = transfer(scores[rows(some)[0]], transitions, length[some], nth[some] == 0)
+        t = np.exp(transitions - transitions.max()).astype(np.float32)
+        message = np.ones((len(begin), labels), np.float32)
+        by_nth = [np.flatnonzero(nth == 0)]
+        while len(next_ := by_nth[-1][by_nth[-1] + 1 < len(nth)] + 1) and len(next_ := next_[nth[next_] > 0]):
+            by_nth.append(next_)
+        for now in by_nth[1:]:  # from a text's first block to its last
+            m = np.einsum("bi,bij->bj", message[now - 1], matrix[now - 1])
+            message[now] = m / m.sum(1, keepdims=True)
+            before[now] = message[now] @ t
+        for now in reversed(by_nth[1:]):  # and back
+            m = np.einsum("bij,bj->bi", matrix[now], after[now])
+            after[now - 1] = m / m.sum(1, keepdims=True)
     out = np.empty_like(scores)
-    for some in np.array_split(np.argsort(length, kind="stable"), max(1, len(begin) // 2048)):
-        if len(some):
-            steps = int(length[some].max())
-            at = np.minimum(begin[some][:, None] + np.arange(steps), len(scores) - 1)
-            p = probabilities(scores[at], emissions.field.transitions, length[some])
-            live = np.arange(steps)[None, :] < length[some][:, None]
-            out[at[live]] = p[live]
+    for some in dealt(np.arange(len(begin))):
+        at, steps = rows(some)
+        p = probabilities(scores[at], transitions, length[some], before[some], after[some])
+        live = np.arange(steps)[None, :] < length[some][:, None]
+        out[at[live]] = p[live]
     return [out[s:e] for s, e in zip(first[:-1], first[1:])]
 
 
@@ -244,32 +294,29 @@ def _predict(shared):
     return predict
 
 
-def fit(docs: DataFrame, per_label: int = 250, max_labels: int = 32, max_bytes: int = 20_000, text_col: str = "text", lang_col: str = "lang") -> Field:
-    """A field of the `max_labels` most frequent labels, from about `per_label` rows each, dealt by hash."""
+def fit(docs: DataFrame, per_label: int = 250, max_bytes: int = 20_000, text_col: str = "text", lang_col: str = "lang", **training) -> Field:
+    """A field of all labels, from `per_label` different texts of each at most, dealt by hash; training: of `train`."""
     rows = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    rows = rows.filter(F.octet_length("text") <= max_bytes)
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_labels).collect()
+    rows = rows.filter(F.octet_length("text") <= max_bytes).withColumn("nr", F.xxhash64("text", "lang"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("nr").alias("n")).collect()  # a row a label
     if not counts:
         return Field([], np.zeros((FEATURES, 0), np.float32), np.zeros((0, 0)), {})
-    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.3 * per_label / r["n"]))]), F.col("lang"))
-    some = rows.filter(F.col("lang").isin([r["lang"] for r in counts]))
-    some = some.filter(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < share * (1 << 20))
-    taken: Counter = Counter()
-    sample = []
-    for r in some.orderBy(F.xxhash64("text", "lang"), "text", "lang").limit(2 * per_label * len(counts)).collect():
-        taken[r["lang"]] += 1
-        if taken[r["lang"]] <= per_label:
-            sample.append((r["text"], r["lang"]))
-    return train(sample)
+    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * per_label / max(1, r["n"])))]), F.col("lang"))
+    some = rows.filter(F.pmod("nr", F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["nr"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("nr", "text"))  # of about 1.5 * per_label rows
+    sample = some.withColumn("nth", nth).filter(F.col("nth") <= per_label).orderBy("nr", "text").collect()
+    return train([(r["text"], r["lang"]) for r in sample], **({"sequences": max(1500, 60 * len(counts))} | training))
 
 
 def predict(docs: DataFrame, field: Field, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all but the text, by default), lang_pred and score.
 
     A null text or one without a letter is `und` with score 0, and so is any text if no label was learned.
-    Nothing but the text is read for a prediction; equal texts get equal ones; an empty table gives no rows.
+    Nothing but the text is read for a prediction; equal texts get equal ones; an empty table gives no rows. Columns
+    of the table that are named lang_pred, score or __text are replaced or left out.
     """
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
+    keep = [c for c in keep if c not in ("lang_pred", "score", TEXT)]
     chosen = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias(TEXT))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != TEXT)
     return chosen.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(field)), f"{schema}, lang_pred string, score double")

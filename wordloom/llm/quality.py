@@ -348,7 +348,7 @@ def quartiles(rows: DataFrame, value: str, *by: str) -> DataFrame:
     return counted.groupBy(*by).agg(least[0].alias("low"), least[1].alias("high"), F.sum("n").alias("texts"))
 
 
-def quality(docs: DataFrame, reach: float = 2.5, least: int = 64, least_texts: int = 50, max_entries: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def quality(docs: DataFrame, reach: float = 2.5, least: int = 64, least_texts: int = 50, max_entries: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, the base counts, base_failed, log_perplexity, low, high, kept for each row.
 
     Each language of `least_texts` texts or more has a model and a band of its own; the texts of all others, and of
