@@ -14,7 +14,8 @@ more are also near if one word is inserted, deleted or substituted (an edit dist
 
 A line goes if an equal or near one stands earlier, by (id, place in the text), whether or not that one stays.
 Lines that make up more than 1 / HOT of all lines, fewer than HOT of them, are marked by a broadcast; no task
-gets all places of one line. All steps are linear in a text's lines.
+gets all places of one line. All steps are linear in a text's lines. Texts are joined by merging at any size, as
+the tables that they meet grow with them.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def drops(docs: DataFrame, least: int = 4) -> DataFrame:
     asked = keyed.join(shared.select("key"), "key").groupBy("line").agg(F.max(F.col("k") == 2).alias("right"), F.max(F.col("k") == 3).alias("left"))
     asked = asked.join(firsts.select("line", "first"), "line").groupBy("first.doc_id", "first.text_id").agg(F.collect_list(F.struct("first.place", "line", "left", "right")).alias("asked"))
     asked = written(asked, "asked")  # a text's own lines at most
-    texts = docs.select("doc_id", "text_id", "text").join(asked, ["doc_id", "text_id"]).select("doc_id", "text_id", "asked", once(F.split("text", "\n")).alias("lines"))
+    texts = docs.select("doc_id", "text_id", "text").hint("merge").join(asked, ["doc_id", "text_id"]).select("doc_id", "text_id", "asked", once(F.split("text", "\n")).alias("lines"))
     worded = texts.select("doc_id", "text_id", "lines", F.explode("asked").alias("p"))
     first = F.struct("doc_id", "text_id", F.col("p.place").alias("place")).alias("first")
     worded = written(worded.select("p.line", "p.left", "p.right", first, _words(F.get("lines", F.col("p.place"))).alias("words")).dropDuplicates(["line"]), "worded")
@@ -125,7 +126,7 @@ def dedupe_lines(docs: DataFrame, least: int = 4, id_col: str = "doc_id", text_c
     text = docs[text_col].cast("string")
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"))
     gone = drops(keyed.select("doc_id", "text_id", "text"), least).withColumnsRenamed({"doc_id": "own_id", "text_id": "own_text"})
-    joined = keyed.select("row", "doc_id", "text_id").join(gone, (F.col("doc_id") == F.col("own_id")) & (F.col("text_id") == F.col("own_text")), "left")
+    joined = keyed.select("row", "doc_id", "text_id").hint("merge").join(gone, (F.col("doc_id") == F.col("own_id")) & (F.col("text_id") == F.col("own_text")), "left")
     joined = joined.select("row", "exact", "near", once(F.split(F.col("row")[text_col].cast("string"), "\n")).alias("lines"))
     joined = joined.select("row", "exact", "near", "lines", once(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.concat("exact", "near"))).alias("kept"))
     left = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")
