@@ -191,6 +191,32 @@ def blocks(texts: pa.Array, budget: int = BLOCK_BYTES) -> Iterator[Block]:
         lo = hi
 
 
+class Sorted:
+    """Values by 64-bit key: sorted arrays with a directory of the keys' leading bits."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.shift = U64(64 - max(1, int(len(keys)).bit_length()))
+        self.first = np.searchsorted(self.keys >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=U64)).astype(np.int32)
+        self.deep = int(np.diff(self.first).max(initial=0))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which are there, and the value of each (0 where it is not)."""
+        value, found = np.zeros(len(keys), self.values.dtype), np.zeros(len(keys), bool)
+        lead = (keys >> self.shift).astype(np.int64)
+        at, stop, left = self.first[lead], self.first[lead + 1], np.arange(len(keys))
+        for _ in range(self.deep):
+            open_ = at < stop
+            at, stop, left = at[open_], stop[open_], left[open_]
+            if not len(left):
+                break
+            hit = self.keys[at] == keys[left]
+            value[left[hit]], found[left[hit]] = self.values[at[hit]], True
+            at, stop, left = at[~hit] + 1, stop[~hit], left[~hit]
+        return found, value
+
+
 def ids_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only these two, named doc_id and text, whatever other columns are called."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import LOWER, NOT_SPACE, U64, Block, blocks, documents, mix, written
+from wordloom.llm.common import NOT_SPACE, U64, Block, Sorted, blocks, documents, mix, written
 
 ORDER = 5
 #: Distinct n-grams that a task adds up before it hands them on.
@@ -189,32 +189,6 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both[0], both[1].withColumn("value", F.log(F.greatest("value", F.lit(1e-12))))
 
 
-class Sorted:
-    """Values by 64-bit key: sorted arrays with a directory of the keys' leading bits."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order].astype(np.float32)
-        self.shift = U64(64 - max(1, int(len(keys)).bit_length()))
-        self.first = np.searchsorted(self.keys >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=U64)).astype(np.int32)
-        self.deep = int(np.diff(self.first).max(initial=0))
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which are there, and the value of each (0 where it is not)."""
-        value, found = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
-        lead = (keys >> self.shift).astype(np.int64)
-        at, stop, left = self.first[lead], self.first[lead + 1], np.arange(len(keys))
-        for _ in range(self.deep):
-            open_ = at < stop
-            at, stop, left = at[open_], stop[open_], left[open_]
-            if not len(left):
-                break
-            hit = self.keys[at] == keys[left]
-            value[left[hit]], found[left[hit]] = self.values[at[hit]], True
-            at, stop, left = at[~hit] + 1, stop[~hit], left[~hit]
-        return found, value
-
-
 class Part:
     """What one pass broadcasts: the n-grams and contexts of some models, or one of `parts` shares of a model's."""
 
@@ -320,10 +294,10 @@ def scored(docs: DataFrame, grams: DataFrame, contexts: DataFrame, max_entries:
                 high, low = F.shiftrightunsigned("deal", 32), F.col("deal").bitwiseAND(0xFFFFFFFF)
                 some = some.filter(F.col("deal").isNull() | (((high % parts) * ((1 << 32) % parts) + low) % parts == part))
             rows = some.select("key", "value").toArrow()  # about max_entries rows
-            arrays.append(Sorted(rows.column("key").to_numpy().view(U64), rows.column("value").to_numpy()))
+            arrays.append(Sorted(rows.column("key").to_numpy().view(U64), rows.column("value").to_numpy().astype(np.float32)))
         return spark.sparkContext.broadcast(Part(*arrays, {m: unseen[m] for m in models if m in unseen}, part, parts))
 
-    out = docs.filter(~F.col("model").isin(list(sizes))).mapInArrow(_scores(spark.sparkContext.broadcast(Part(Sorted(np.zeros(0, U64), np.zeros(0)), Sorted(np.zeros(0, U64), np.zeros(0)), {}))), SCORED)
+    out = docs.filter(~F.col("model").isin(list(sizes))).mapInArrow(_scores(spark.sparkContext.broadcast(Part(Sorted(np.zeros(0, U64), np.zeros(0, np.float32)), Sorted(np.zeros(0, U64), np.zeros(0, np.float32)), {}))), SCORED)
     for models, parts in passes:
         rows = docs.filter(F.col("model").isin(models))
         if parts == 1:

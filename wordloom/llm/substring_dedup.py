@@ -1,17 +1,20 @@
 """Operator 4, removal of passages that stand in an earlier document.
 
-One automaton of a whole corpus fits nowhere, and broadcasting shard after shard reads the corpus once per
-shard. So the reference is sharded by anchors, and each shard's automaton is built where its texts meet:
+One automaton of a whole corpus fits nowhere, so the reference is cut down to what can match at all, and sharded:
 
 1. Each window of `window` words has an anchor, the least hash of its `gram`-word runs: equal windows have
-   equal anchors. Consecutive windows with one anchor make a run, of about two thirds of a window more.
-2. Only anchors of two or more documents go on. Where all runs of an anchor are equal (copied passages), the
-   first document keeps its own and the others lose theirs.
-3. An anchor whose runs differ is a reference shard. Its distinct runs, by first document, pass through a
-   suffix automaton of those of smaller documents: matching statistics of `window` words or more mark what is
-   covered, then the run is added. A shard of more than `wide` distinct runs is dealt out by its windows
-   instead (a minimum for each window), so that none has to fit into a task.
-4. The spans come back to the texts, and the words that they cover go.
+   equal anchors. Consecutive windows with one anchor make a run, of about two thirds of a window more (at most LONG
+   windows, whatever the text).
+2. Only anchors of two or more documents go on. Of equal runs (copied passages), the first document keeps its own
+   and the others lose theirs. What is left to compare, the distinct runs of anchors whose runs differ, is the
+   reference: shards of about `shard_words` words by anchor.
+3. A shard becomes a suffix automaton of its runs, documents in order, that knows the first document of each state.
+   Automata are broadcast, `broadcast_words` words of reference in each of `passes` groups at most, and the documents'
+   runs stream past their shard's: matching statistics against smaller documents of `window` words or more mark
+   what is covered. A reference of more words than that is not broadcast: its shards are dealt to tasks, each of
+   which builds one automaton at a time and streams the shard's runs past it. Results are the same.
+4. An anchor of more than `shard_words` words is dealt out by its windows (a minimum for each), so that it need not fit.
+5. The spans come back to the texts, and the words that they cover go.
 
 Every count is combined before it is shuffled; joins on anchors are ones that Spark can split.
 """
@@ -19,6 +22,7 @@ Every count is combined before it is shuffled; joins on anchors are ones that Sp
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.automaton import SuffixAutomaton, covered
+from wordloom.llm.automaton import Compact, SuffixAutomaton, covered
 from wordloom.llm.common import U64, blocks, documents, ids_and_text, runs_hash, written
 
 RUN = "anchor long, same long, doc_id long, text_id long, first long, n long"
 SNIPPET = "anchor long, same long, doc_id long, words binary, part long, place long"
+FOUND = "anchor long, same long, doc_id long, s long, e long"
+#: Windows of a run at most; runs that go through an automaton together.
+LONG, TOGETHER = 512, 1024
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -56,6 +63,10 @@ def _runs(window: int, gram: int):
                 least = sliding_min(runs_hash(w.hash, begin, begin + gram), window - gram + 1)[at]
                 new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(least) != 0)])
                 n = np.diff(np.r_[new, len(at)])
+                cuts = -(-n // LONG)
+                nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                new = np.repeat(new, cuts) + nth * LONG
+                n = np.minimum(LONG, np.repeat(n, cuts) - nth * LONG)
                 start = at[new]
                 same = runs_hash(w.hash, start, start + n + window - 1)
                 doc = w.doc[start]
@@ -91,28 +102,90 @@ def _snippets(window: int):
     return cut
 
 
-def _matched(window: int):
-    """Rows come by (anchor, doc_id): what smaller documents' runs of the same anchor cover of each."""
+def automaton_of(docs: list[int], runs: list[np.ndarray]) -> Compact:
+    """Of runs in their documents' order."""
+    a = SuffixAutomaton()
+    for d, words in zip(docs, runs):
+        a.add(words.view(np.int64).tolist(), d)
+    return Compact(a)
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor = doc = automaton = None
-        waiting: list[list[int]] = []
+
+def _streamed(rows: list[tuple], automaton: Compact, window: int) -> list[tuple]:
+    """(anchor, same, doc_id, s, e): what smaller documents cover of rows (anchor, same, doc_id, words)."""
+    out: list[tuple] = []
+    for lo in range(0, len(rows), TOGETHER):
+        some = rows[lo : lo + TOGETHER]
+        for (a, same, d, _), lengths in zip(some, automaton.matches([r[3] for r in some], np.array([r[2] for r in some], np.int64))):
+            if lengths.max(initial=0) >= window:
+                out += [(a, same, d, s, e) for s, e in covered(lengths.tolist(), window)]
+    return out
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(shard, (anchor, same, doc_id, words))."""
+    for shard, a, same, d, words in zip(*(batch.column(c).to_pylist() for c in ("shard", "anchor", "same", "doc_id", "words"))):
+        yield shard, (a, same, d, np.frombuffer(words, U64))
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 5)], names=["anchor", "same", "doc_id", "s", "e"])
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows come by (shard, doc_id): a shard's at a time."""
+    now, held = None, []
+    for batch in batches:
+        for shard, row in _rows(batch):
+            if shard != now and held:
+                yield now, held
+                held = []
+            now = shard
+            held.append(row)
+    if held:
+        yield now, held
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for shard, rows in _by_shard(batches):
+        made = pickle.dumps(automaton_of([r[2] for r in rows], [r[3] for r in rows]), 5)
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([made], pa.binary())], names=["shard", "automaton"])
+
+
+def _stream(shared, window: int):
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata: dict[int, Compact] = shared.value
         for batch in batches:
-            rows: list[tuple] = []
-            for a, same, d, words in zip(*(batch.column(c).to_pylist() for c in ("anchor", "same", "doc_id", "words"))):
-                words = np.frombuffer(words, np.int64).tolist()
-                if a != anchor:
-                    anchor, doc, automaton, waiting = a, d, SuffixAutomaton(), []
-                elif d != doc:
-                    for x in waiting:
-                        automaton.add(x)
-                    doc, waiting = d, []
-                rows += [(a, same, d, s, e) for s, e in covered(automaton.matches(words), window)]
-                waiting.append(words)
-            columns = zip(*rows) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["anchor", "same", "doc_id", "s", "e"])
-
-    return match
+            by_shard: dict[int, list[tuple]] = {}
+            for shard, row in _rows(batch):
+                by_shard.setdefault(shard, []).append(row)
+            yield _found([x for shard, rows in by_shard.items() for x in _streamed(rows, automata[shard], window)])
+
+    return stream
+
+
+def _build_and_stream(window: int):
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_shard(batches):
+            yield _found(_streamed(rows, automaton_of([r[2] for r in rows], [r[3] for r in rows]), window))
+
+    return both
+
+
+def matched(snippets: DataFrame, words: int, window: int, shard_words: int, broadcast_words: int, passes: int) -> DataFrame:
+    """FOUND of the written runs (anchor, same, doc_id, words), of so many words in all."""
+    spark = snippets.sparkSession
+    shards = max(1, -(-words // shard_words))
+    dealt = snippets.select("anchor", "same", "doc_id", "words", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    if words > broadcast_words * passes:
+        return dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", "same").mapInArrow(_build_and_stream(window), FOUND)
+    out = spark.createDataFrame([], FOUND)
+    step = max(1, broadcast_words // shard_words)
+    for lo in range(0, shards, step):
+        group = dealt.filter(F.col("shard").between(lo, lo + step - 1))
+        made = group.repartition(step, "shard").sortWithinPartitions("shard", "doc_id", "same").mapInArrow(_build, "shard long, automaton binary").toArrow()
+        automata = {shard: pickle.loads(x) for shard, x in zip(made.column("shard").to_pylist(), made.column("automaton").to_pylist())}  # about broadcast_words words
+        out = out.unionByName(group.mapInArrow(_stream(spark.sparkContext.broadcast(automata), window), FOUND))
+    return out
 
 
 def _kept(with_text: bool):
@@ -138,7 +211,7 @@ def _kept(with_text: bool):
     return keep
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 16, wide: int = 2048, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 16, shard_words: int = 100_000, broadcast_words: int = 500_000, passes: int = 8, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) for each row.
 
     A word goes if a window of `window` words over it also starts in a document with a smaller id. Rows of one
@@ -155,13 +228,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 16, wide: int
     later = later.select("doc_id", "text_id", F.col("first").alias("s"), (F.col("first") + F.col("n") + window - 1).alias("e"))
 
     mixed = firsts.filter("mixed").select("anchor", "same", "f.*", "n")
-    width = mixed.groupBy("anchor").agg((F.count("*") > wide).alias("wide"))
-    asked = mixed.join(width, "anchor").groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("anchor", "same", "first", "n", "wide")).alias("asked"))
+    width = mixed.groupBy("anchor").agg(F.sum(F.col("n") + window - 1).alias("words")).select("anchor", "words", (F.col("words") > shard_words).alias("wide"))
+    words = width.agg(F.coalesce(F.sum(F.when(~F.col("wide"), F.col("words"))), F.lit(0)).alias("n")).first()["n"]
+    asked = mixed.join(width.select("anchor", "wide"), "anchor").groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("anchor", "same", "first", "n", "wide")).alias("asked"))
     snippets = known.join(asked, ["doc_id", "text_id"]).select("doc_id", "text", "asked").mapInArrow(_snippets(window), SNIPPET)
     snippets = written(snippets, "snippets")
-    narrow = snippets.filter("words IS NOT NULL").select("anchor", "same", "doc_id", "words")
-    narrow = narrow.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "same")
-    found = narrow.mapInArrow(_matched(window), "anchor long, same long, doc_id long, s long, e long")
+    found = matched(snippets.filter("words IS NOT NULL"), words, window, shard_words, broadcast_words, passes)
     windows = snippets.filter("part IS NOT NULL")
     least = windows.groupBy("part").agg(F.min("doc_id").alias("lo"))
     open_ = windows.join(least, "part").filter("doc_id > lo").select("anchor", "same", "doc_id", F.col("place").alias("s"), (F.col("place") + window).alias("e"))
