@@ -5,15 +5,19 @@
    hash range is cut into more than D parts, so they agree on some whole part. Each set gives a signature for
    each part (its class and the next larger one), and the nodes of a signature join the group of its least
    node. A set of many parts signs only `parts` of them, of half its D elements' reach each: a linked pair
-   then agrees on none with probability below 0.5 ** parts (2e-10 at 32), and fewer parts are all signed.
+   then agrees on none with probability below 0.5 ** parts (2e-10 at 32), and fewer parts are all signed
+   (a part that is empty signs nothing, so sets of few parts are cut anew, up to eight times: a link is lost only if
+   every cut's untouched parts are empty).
    Signatures hold several shingles each, so common shingles alone gather nobody.
 3. The matrix: a group's nodes are bit rows over its tokens, in blocks of similar size, with the union of
    each block. A query's overlap with the union bounds that with any member; only blocks whose bound reaches
    what the threshold needs are opened, and members already in the query's component are passed over.
 4. Links are merged by distributed connected components.
 
-Groups over `side` nodes are dealt out by pairs of sub-blocks, each task holding two; no group, list of links
-or component is ever gathered whole. Bounds: a task holds 2 * side sets.
+A group of over `side` nodes is cut into sub-blocks by hash. First each sub-block is held against itself and against
+the group's first one, whose nodes stand for the group: rows in proportion to the group. Nodes that are in the
+component of most of the group need no more of each other; only the rest is then held against all sub-blocks. No
+group, list of links or component is ever gathered whole; a task holds 2 * side sets.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import U64, Block, blocks, documents, ids_and_text, mix, runs_hash, written
+from wordloom.llm.common import U64, Block, blocks, discard, documents, ids_and_text, mix, runs_hash, written
 from wordloom.llm.components import components
 
 BLOCK_ROWS = 16
@@ -175,27 +179,44 @@ def _links(percent: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("group", "i", "j", "own", "node", "tokens")))
+                yield from zip(*(batch.column(c).to_pylist() for c in ("group", "i", "j", "side", "node", "tokens")))
 
-        for (_, i, j), members in groupby(rows(), key=lambda r: r[:3]):
+        for _, members in groupby(rows(), key=lambda r: r[:3]):
             members = list(members)  # at most two sub-blocks
             if len(members) > 1:
                 nodes = [m[4] for m in members]
-                found = links_within([np.frombuffer(m[5], U64) for m in members], [int(m[3] != i) for m in members], percent)
+                found = links_within([np.frombuffer(m[5], U64) for m in members], [m[3] for m in members], percent)
                 a, b = [nodes[x] for x, _ in found], [nodes[y] for _, y in found]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return link
 
 
-def jaccard_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, parts: int = 32, side: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row: the least id that a row reaches through links.
+def _place(i, j, side):
+    return F.struct(F.lit(i).cast("int").alias("i") if isinstance(i, int) else i.cast("int").alias("i"), F.lit(j).cast("int").alias("j") if isinstance(j, int) else j.cast("int").alias("j"), F.lit(side).cast("int").alias("side"))
 
-    Rows are linked if 100 * common shingles >= percent * all shingles of the two. Null texts and texts without
-    words have no shingles and their own id; a text with fewer words than `shingle` has one. Rows of equal sets
-    are linked. A null id is passed over as the least, unless all are null. An empty table gives no rows.
-    Other columns are not read. Sets are told apart by 64-bit hashes.
-    """
+
+def first_deal(places: DataFrame) -> DataFrame:
+    """group, node, i, j, side of places (group, node, cuts, own): each sub-block with itself and with the first one."""
+    upto = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: _place(0, k, 0))
+    at = F.when(F.col("own") == 0, upto).otherwise(F.array(_place(0, F.col("own"), 1), _place(F.col("own"), F.col("own"), 0)))
+    return places.select("group", "node", F.explode(at).alias("p")).select("group", "node", "p.*")
+
+
+def second_deal(places: DataFrame, roots: DataFrame, side: int) -> DataFrame:
+    """The same for what the first links have not joined to most of its group, held against the whole group."""
+    rooted = places.filter("cuts > 1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    most = rooted.groupBy("group", "root").agg(F.count("*").alias("n")).groupBy("group").agg(F.max(F.struct("n", "root"))["root"].alias("most"))
+    rooted = rooted.join(most, "group").withColumn("rest", F.col("root") != F.col("most"))
+    again = rooted.groupBy("group").agg(F.ceil(F.count_if("rest") / side).cast("int").alias("rows")).filter("rows > 0")
+    rooted = rooted.join(again, "group").withColumn("row", F.pmod(F.xxhash64("node", "group"), "rows").cast("int"))
+    each = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda k: _place(k, F.col("own"), 1))
+    asks = F.when(F.col("rest"), F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: _place(F.col("row"), k, 0))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
+    return rooted.select("group", "node", F.explode(F.concat(each, asks)).alias("p")).select("group", "node", "p.*")
+
+
+def jaccard_rows(docs: DataFrame, shingle: int = 5, percent: int = 80, parts: int = 32, side: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_id (xxhash64 of the text), n_shingles, component_id for each row."""
     docs = ids_and_text(docs, id_col, text_col).withColumn("text_id", F.xxhash64("text"))
     schema = "doc_id long, text_id long, n_shingles long, node long, signs array<long>"
     sets = written(docs.select("doc_id", "text_id", "text").mapInArrow(_sets(shingle, percent, parts), schema), "sets")
@@ -205,25 +226,43 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, parts:
     shared = signed.groupBy("sign").agg(F.min("node").alias("group"), F.max("node").alias("last")).filter("`group` < last")
     places = written(signed.join(shared.select("sign", "group"), "sign").select("group", "node").distinct(), "places")
     counted = places.groupBy("group").agg(F.ceil(F.count("*") / side).cast("int").alias("cuts"))
-    places = places.join(counted, "group").withColumn("own", F.when(F.col("cuts") > 1, F.pmod(F.xxhash64("node"), "cuts")).otherwise(0).cast("int"))
-    asked = places.groupBy("node").agg(F.collect_list(F.struct("group", "cuts", "own")).alias("places"))  # at most one for each signature
-    asked = asked.join(nodes.select("node", "rep.*"), "node")
-    asked = asked.withColumn("same_id", F.col("doc_id")).drop("doc_id")
-    wanted = docs.join(asked, (docs["text_id"] == asked["text_id"]) & docs["doc_id"].eqNullSafe(asked["same_id"])).select("node", "places", "text")
-    tokens = wanted.mapInArrow(_tokens(shingle), "node long, places array<struct<group:long,cuts:int,own:int>>, tokens binary")
-    dealt = tokens.select("node", "tokens", F.explode("places").alias("p")).select("node", "tokens", "p.*")
-    others = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
-    dealt = dealt.withColumn("other", others).select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "tokens")
-    dealt = dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "own", "node")
-    roots = components(dealt.mapInArrow(_links(percent), "a long, b long"))
+    cut = places.join(counted, "group").withColumn("own", F.when(F.col("cuts") > 1, F.pmod(F.xxhash64("node"), "cuts")).otherwise(0).cast("int"))
+
+    def links(deal: DataFrame) -> DataFrame:
+        asked = deal.groupBy("node").agg(F.collect_list(F.struct("group", "i", "j", "side")).alias("places"))
+        asked = asked.join(nodes.select("node", F.col("rep.doc_id").alias("own_id"), F.col("rep.text_id").alias("own_text")), "node")
+        wanted = docs.join(asked, (F.col("text_id") == F.col("own_text")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("node", "places", "text")
+        tokens = wanted.mapInArrow(_tokens(shingle), "node long, places array<struct<group:long,i:int,j:int,side:int>>, tokens binary")
+        dealt = tokens.select("node", "tokens", F.explode("places").alias("p")).select("node", "tokens", "p.*")
+        dealt = dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "side", "node")
+        return written(dealt.mapInArrow(_links(percent), "a long, b long"), "links")
+
+    found = links(first_deal(cut))
+    roots = components(found)
+    if counted.filter("cuts > 1").limit(1).count():
+        more = links(second_deal(cut, roots, side))
+        roots = components(found.unionByName(more))
+        discard(more)
+    discard(places, found)
 
     rooted = nodes.select("node", "least").join(roots, "node")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     rooted = rooted.join(least, "root").select("node", "component_id")
     labelled = nodes.select("node", "least").join(rooted, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    out = sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+    out = sets.select("doc_id", "text_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
     out = out.join(labelled, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "text_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, parts: int = 32, side: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for each row: the least id that a row reaches through links.
+
+    Rows are linked if 100 * common shingles >= percent * all shingles of the two. Null texts and texts without
+    words have no shingles and their own id; a text with fewer words than `shingle` has one. Rows of equal sets
+    are linked. A null id is passed over as the least, unless all are null. An empty table gives no rows.
+    Other columns are not read. Sets are told apart by 64-bit hashes.
+    """
+    return jaccard_rows(docs, shingle, percent, parts, side, id_col, text_col).drop("text_id")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
