@@ -12,8 +12,10 @@ neighbouring segments of `stride` words, is a query:
 Retrieved items are verified: the share of the question's and of the answer's word triples (the answer is an
 item's last sentences, or its last quarter) that stand in the text near the passage.
 
-The index is broadcast in shards of at most `shard_bytes` of item text, one pass over the corpus for each;
-document frequencies are those of the whole benchmark, so results do not depend on the shards.
+The index is broadcast in shards of about `shard_bytes` of item text, `pass_bytes` of them for each pass over the
+corpus, whose words are read once for all shards of a pass. Document frequencies and the mean length are those of the
+whole benchmark, so results do not depend on the shards. An item of fewer than `least_words` different words is no
+evidence of a leak (one common word would flag most texts): it is not searched for, and `weak_items` names it.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ K1, B = 1.2, 0.75
 BLOCK_ITEMS, ANSWER_WORDS = 8, 6
 #: The threshold, with room for the order of sums.
 LEAST = 1 - 1e-9
+#: Passages that are summed and scored together.
+STEP = 512
 
 
 def words_of(text: str) -> np.ndarray:
@@ -122,9 +126,8 @@ def retrieve(index: Index, doc: np.ndarray, nth: np.ndarray, hashes: np.ndarray,
     starts, items, scores = [], [], []
     terms, blocks_of = len(index.terms), index.blocks
     opened = np.flatnonzero(wanted)
-    step = max(1, (1 << 18) // (blocks_of * BLOCK_ITEMS))
-    for lo in range(0, len(opened), step):  # some passages at a time: sums by block never grow with the text
-        p = opened[lo : lo + step]
+    for lo in range(0, len(opened), STEP):  # some passages at a time
+        p = opened[lo : lo + STEP]
         size = edge[np.minimum(n, p + 1 + joined[p])] - edge[p]
         which = np.repeat(np.arange(len(p)), size)
         own = term[np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(edge[p], size)]
@@ -132,21 +135,23 @@ def retrieve(index: Index, doc: np.ndarray, nth: np.ndarray, hashes: np.ndarray,
         few = ~index.common[own]
         base = np.bincount(which[~few], index.list_max[own[~few]], minlength=len(p))
         at, row = spread_out(index.block_first, own[few])
-        by_block = np.bincount(which[few][at] * blocks_of + index.block[row], index.block_max[row], minlength=len(p) * blocks_of)
-        open_ = by_block.reshape(len(p), blocks_of) + base[:, None] >= LEAST
-        passage, block = np.nonzero(open_)
-        if not len(passage):
+        key = which[few][at] * blocks_of + index.block[row]  # only blocks that a term is in are summed
+        every = np.flatnonzero(base >= LEAST)  # the common terms alone may reach 1: all blocks are open
+        key, inverse = np.unique(np.r_[key, (every[:, None] * blocks_of + np.arange(blocks_of)).ravel()], return_inverse=True)
+        by_block = np.bincount(inverse[: len(at)], index.block_max[row], minlength=len(key))
+        key = key[by_block + base[key // blocks_of] >= LEAST]
+        if not len(key):
             continue
-        some = np.flatnonzero(open_.any(1)[which])
+        some = np.flatnonzero(np.isin(which, key // blocks_of))
         at, row = spread_out(index.first, own[some])
         place = which[some][at] * blocks_of + index.item[row] // BLOCK_ITEMS
-        rank = np.cumsum(open_.ravel()) - 1  # of each open block
-        inside = open_.ravel()[place]
-        slot = rank[place[inside]] * BLOCK_ITEMS + index.item[row[inside]] % BLOCK_ITEMS
-        score = np.bincount(slot, index.impact[row[inside]], minlength=len(passage) * BLOCK_ITEMS).reshape(-1, BLOCK_ITEMS)
+        rank = np.minimum(np.searchsorted(key, place), len(key) - 1)
+        inside = key[rank] == place
+        slot = rank[inside] * BLOCK_ITEMS + index.item[row[inside]] % BLOCK_ITEMS
+        score = np.bincount(slot, index.impact[row[inside]], minlength=len(key) * BLOCK_ITEMS).reshape(-1, BLOCK_ITEMS)
         k, nth_item = np.nonzero(score >= LEAST)
-        starts.append(new[p[passage[k]]])
-        items.append(block[k] * BLOCK_ITEMS + nth_item)
+        starts.append(new[p[key[k] // blocks_of]])
+        items.append(key[k] % blocks_of * BLOCK_ITEMS + nth_item)
         scores.append(score[k, nth_item])
     return (np.concatenate(starts), np.concatenate(items), np.concatenate(scores)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
@@ -157,21 +162,23 @@ def overlap(asked: np.ndarray, there: np.ndarray) -> float:
 
 def _leaks(index, share: float, stride: int, question: float, answer: float):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x: Index = index.value
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for b in blocks(batch.column("text")):
                 w = b.words(ALNUM, lower=True)
-                start, item, score = retrieve(x, w.doc, np.arange(len(w.doc)) - w.first[w.doc], w.hash, stride)
-                best: dict[tuple, tuple] = {}
-                for s, i, v in zip(start.tolist(), item.tolist(), score.tolist()):
-                    d = int(w.doc[s])
-                    around = slice(max(w.first[d], s - x.length[i]), min(w.first[d + 1], s + 2 * stride + x.length[i]))
-                    there = np.concatenate([triples(w.hash[around]), w.hash[around]])
-                    q, a = overlap(x.question[i], there), overlap(x.answer[i], there)
-                    if q >= question and a >= answer:
-                        best[d, i] = max(best.get((d, i), (0.0,)), (share * v, q, a))
-                rows = [(ids[b.lo + d], x.item_ids[i], *v) for (d, i), v in best.items()]
+                nth = np.arange(len(w.doc)) - w.first[w.doc]
+                rows: list[tuple] = []
+                for x in index.value:
+                    start, item, score = retrieve(x, w.doc, nth, w.hash, stride)
+                    best: dict[tuple, tuple] = {}
+                    for s, i, v in zip(start.tolist(), item.tolist(), score.tolist()):
+                        d = int(w.doc[s])
+                        around = slice(max(w.first[d], s - x.length[i]), min(w.first[d + 1], s + 2 * stride + x.length[i]))
+                        there = np.concatenate([triples(w.hash[around]), w.hash[around]])
+                        q, a = overlap(x.question[i], there), overlap(x.answer[i], there)
+                        if q >= question and a >= answer:
+                            best[d, i] = max(best.get((d, i), (0.0,)), (share * v, q, a))
+                    rows += [(ids[b.lo + d], x.item_ids[i], *v) for (d, i), v in best.items()]
                 columns = list(zip(*rows)) if rows else [()] * 5
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
@@ -179,44 +186,63 @@ def _leaks(index, share: float, stride: int, question: float, answer: float):
     return find
 
 
-def leaks(docs: DataFrame, items: DataFrame, share: float = 0.6, stride: int = 64, question: float = 0.5, answer: float = 0.5, shard_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each item's different words."""
+    for batch in batches:
+        for t in batch.column("text").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(words_of(t)).view(np.int64))], names=["term"])
+
+
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [words_of(t or "") for t in batch.column("text").to_pylist()]
+        columns = [batch.column("item_id"), batch.column("text"), pa.array([len(w) for w in words], pa.int64()), pa.array([len(np.unique(w)) for w in words], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["item_id", "text", "words", "kinds"])
+
+
+def sized_items(items: DataFrame, item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """item_id, text, words, kinds (different words)."""
+    items = items.select(items[item_id_col].cast("long").alias("item_id"), items[item_text_col].cast("string").alias("text"))
+    return items.mapInArrow(_sized, "item_id long, text string, words long, kinds long")
+
+
+def weak_items(items: DataFrame, least_words: int = 8, item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """item_id, text, kinds of the items that `leaks` does not search for, null and empty ones too."""
+    return sized_items(items, item_id_col, item_text_col).filter(F.col("kinds") < least_words).select("item_id", "text", "kinds")
+
+
+def leaks(docs: DataFrame, items: DataFrame, share: float = 0.6, stride: int = 64, question: float = 0.5, answer: float = 0.5, least_words: int = 8, shard_bytes: int = 8 << 20, pass_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: one row for each text and item that it leaks.
 
     score is the best passage's BM25 score as a share of the item's own. Null and empty texts and items leak
-    nothing; rows of equal text each have their own rows; an empty table on either side gives none; other
-    columns are not read. Texts of any length are scored whole, passage by passage.
+    nothing, nor do items of fewer than `least_words` different words (see weak_items); rows of equal text each have
+    their own rows; an empty table on either side gives none; other columns are not read. Texts of any length are
+    scored whole, passage by passage.
     """
     spark = docs.sparkSession
-    items = items.select(items[item_id_col].cast("long").alias("item_id"), items[item_text_col].cast("string").alias("text"))
-    items = items.filter(F.col("text").rlike("[0-9A-Za-z\\u0080-\\x{10FFFF}]"))
-
-    def terms(batches):
-        for batch in batches:
-            for t in batch.column("text").to_pylist():
-                h = words_of(t)
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).view(np.int64)), pa.array(np.full(len(np.unique(h)), len(h)))], names=["term", "words"])
-
-    stats = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    items = sized_items(items, item_id_col, item_text_col).filter(F.col("kinds") >= least_words)
+    stats = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     out = spark.createDataFrame([], LEAK)
     if not stats.n:
         return out
-    by_term = items.mapInArrow(terms, "term long, words long")
     shards = -(-stats.bytes // shard_bytes)
+    by_term = items.mapInArrow(_terms, "term long").groupBy("term").agg(F.count("*").alias("n"))
     if shards > 1:
-        by_term = written(by_term.groupBy("term").agg(F.count("*").alias("n")), "terms")
-    else:
-        by_term = by_term.groupBy("term").agg(F.count("*").alias("n"))
+        by_term = written(by_term, "terms")
     shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
-    mean = stats.bytes / stats.n / 6  # bytes to words, roughly: only a scale for BM25's length
-    for k in range(shards):
-        part = items.filter(shard == k)
-        rows = [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]  # shard_bytes at most, about
-        if rows:
-            own = part.mapInArrow(terms, "term long, words long").select("term").distinct() if shards > 1 else None
-            frequency = {r.term: r.n for r in (by_term.join(own, "term") if own is not None else by_term).collect()}
-            index = spark.sparkContext.broadcast(Index(rows, frequency, stats.n, mean, share, stride))
-            out = out.unionByName(docs.mapInArrow(_leaks(index, share, stride, question, answer), LEAK))
+    each = max(1, pass_bytes // shard_bytes)
+    for lo in range(0, shards, each):
+        indexes = []
+        for k in range(lo, min(shards, lo + each)):
+            part = items.filter(shard == k)
+            rows = [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]  # shard_bytes at most, about
+            if rows:
+                own = part.mapInArrow(_terms, "term long").distinct() if shards > 1 else None
+                frequency = {r.term: r.n for r in (by_term.join(own, "term") if own is not None else by_term).collect()}
+                indexes.append(Index(rows, frequency, stats.n, stats.words / stats.n, share, stride))
+        if indexes:
+            out = out.unionByName(docs.mapInArrow(_leaks(spark.sparkContext.broadcast(indexes), share, stride, question, answer), LEAK))
     return out
 
 
