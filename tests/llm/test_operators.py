@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wordloom.llm import decontamination, language, secrets, token_counts
-from wordloom.llm.automaton import SuffixAutomaton, covered
+from wordloom.llm import decontamination, jaccard_join, language, secrets, token_counts
+from wordloom.llm.automaton import Compact, SuffixAutomaton, covered
 from wordloom.llm.components import components
 from wordloom.llm.jaccard_join import jaccard_groups
 from wordloom.llm.licenses import TEMPLATES, license_scan
@@ -117,8 +117,8 @@ def test_packing(docs, rows, empty):
     assert Counter(x for n, ls in packs for x in ls * n) == Counter({128: 3, 100: 2, 28: 1, 5: 40, 1: 7}) and max(sum(ls) for _, ls in packs) <= 128
 
 
-@pytest.mark.parametrize("window, gram, wide", [(50, 16, 2048), (8, 3, 2048), (8, 3, 1)])
-def test_substring_dedup(docs, rows, empty, window, gram, wide):
+@pytest.mark.parametrize("window, gram, bounds", [(50, 16, {}), (8, 3, {"shard_words": 60, "broadcast_words": 120, "passes": 99}), (8, 3, {"shard_words": 60, "broadcast_words": 0}), (8, 3, {"shard_words": 1})])
+def test_substring_dedup(docs, rows, empty, window, gram, bounds):
     first = {}
     for d, x, *_ in sorted(rows, key=lambda r: r[0]):
         w = words(x)
@@ -133,7 +133,7 @@ def test_substring_dedup(docs, rows, empty, window, gram, wide):
                 stay[k : k + window] = [False] * window
         left = [y for y, s in zip(w, stay) if s]
         want.append((d, len(w), len(w) - len(left), hashlib.sha256(" ".join(left).encode()).hexdigest()))
-    got = by_id(remove_repeats(docs, window, gram, wide), "n_words", "n_removed", "kept_sha256")
+    got = by_id(remove_repeats(docs, window, gram, **bounds), "n_words", "n_removed", "kept_sha256")
     assert got == sorted(want, key=repr) and any(x[2] for x in want)
     assert remove_repeats(empty).count() == 0
 
@@ -150,6 +150,28 @@ def test_automaton():
     assert covered([1, 2, 3, 0, 1, 2, 3], 3) == [(0, 3), (4, 7)]
 
 
+def test_compact_automaton():
+    rng = random.Random(4)
+    a, added = SuffixAutomaton(), []
+    for d in range(12):
+        for _ in range(3):
+            run = [rng.randint(0, 2) for _ in range(rng.randint(0, 14))]
+            a.add(run, d)
+            added.append((d, run))
+    runs = added + [(d, [rng.randint(0, 3) for _ in range(9)]) for d in (0, 5, 50)]
+    got = Compact(a).matches([np.array(r, np.uint64) for _, r in runs], np.array([d for d, _ in runs]))
+    for (d, r), lengths in zip(runs, got):
+        held = {tuple(x[i:j]) for e, x in added if e < d for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
+        assert lengths.tolist() == [max((n for n in range(1, k + 2) if tuple(r[k + 1 - n : k + 1]) in held), default=0) for k in range(len(r))]
+
+
+def test_substring_dedup_of_a_very_long_text(spark):
+    n = 300_000
+    rows = [(1, "again " * n), (2, "other " + "again " * n), (3, "again " * 49)]
+    out = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(out[k].n_words, out[k].n_removed) for k in (1, 2, 3)] == [(n, 0), (n + 1, n), (49, 0)]
+
+
 def test_secrets(docs, rows, empty):
     want = []
     for d, x, *_ in rows:
@@ -505,13 +527,89 @@ def test_retrieval():
 
 
 def test_decontamination(spark, docs, empty):
-    items = spark.createDataFrame([(7, ITEM, 1), (8, prose(40, seed=77), 1), (9, None, 1), (10, "", 1), (11, "?!", 1)], "item_id long, text string, doc_id int")
-    for shard in (1 << 20, 60):
-        assert sorted((r.doc_id, r.item_id) for r in decontamination.leaks(docs, items, shard_bytes=shard).collect()) == [(10, 7)]
+    items = spark.createDataFrame([(7, ITEM, 1), (8, prose(40, seed=77), 1), (9, None, 1), (10, "", 1), (11, "?!", 1), (12, "the", 1), (13, "of the of the river and", 1)], "item_id long, text string, doc_id int")
+    for shard, most in ((1 << 20, 1 << 22), (60, 1 << 20), (60, 60)):
+        assert sorted((r.doc_id, r.item_id) for r in decontamination.leaks(docs, items, shard_bytes=shard, pass_bytes=most).collect()) == [(10, 7)]
+    assert sorted((r.item_id, r.kinds) for r in decontamination.weak_items(items).collect()) == [(9, 0), (10, 0), (11, 0), (12, 1), (13, 4)]
     assert decontamination.leaks(empty, items).count() == 0
     assert decontamination.leaks(docs, items.filter("false")).count() == 0
 
 
+def test_large_groups_of_the_jaccard_join(spark):
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(120):  # near copies of one text, different each
+        w = list(base)
+        w[rng.randrange(60)] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    rows += [(1000 + k, " ".join([f"y{k}z{j}" if j % 3 == 0 else b for j, b in enumerate(base)])) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(jaccard_join.jaccard_groups(docs, 2, 80, side=16), "n_shingles", "component_id") == groups([(*r,) for r in rows], 2, 80)
+    nodes, side = 20_000, 64
+    places = spark.range(nodes).select(F.lit(1).cast("long").alias("group"), F.col("id").alias("node"), F.lit(-(-nodes // side)).alias("cuts"), F.pmod(F.xxhash64("id"), F.lit(-(-nodes // side))).cast("int").alias("own"))
+    assert jaccard_join.first_deal(places).count() < 4 * nodes
+    roots = spark.range(nodes).select(F.col("id").alias("node"), F.when(F.col("id") > 50, 51).otherwise(F.col("id")).alias("root"))
+    assert jaccard_join.second_deal(places, roots, side).count() < 3 * nodes
+    assert jaccard_join.second_deal(places, roots.withColumn("root", F.lit(0)), side).count() == 0
+
+
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+@pytest.fixture(scope="module")
+def table(spark, tmp_path_factory):
+    """Null ids and texts, repeated rows, ties, a very long text, and columns with the operators' own names."""
+    path = str(tmp_path_factory.mktemp("table"))
+    spark.createDataFrame([(7, ITEM)], "item_id long, text string").coalesce(1).write.parquet(f"{path}/benchmark.parquet")
+    names = ("score", "lang_pred", "_exact", "_near", "__text", "row", "key", "text_id", "n_chars")
+    leak, copy = prose(60, seed=40) + " " + ITEM + " " + prose(70, seed=41), prose(80, seed=42)
+    texts = [(1, copy), (2, copy), (2, copy), (3, leak), (3, prose(50, seed=43)), (None, leak), (None, copy), (None, None), (4, None), (5, ""), (6, "12 !"), (8, prose(9000, "fr", seed=44)), (9, copy.replace("river", "shore", 1))]
+    rows = [(d, t, "fr" if d == 8 else "en", "s", *[str(k)] * len(names)) for k, (d, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names)).withColumn("n_chars", F.length("text").cast("long"))
+    return docs, path, leak, copy
+
+
+def test_stage_language_id(spark, table, empty):
+    docs, path, _, _ = table
+    out = stage("language_id")(spark, docs, path)
+    assert out.columns == docs.columns and sorted(r.row for r in out.collect()) == sorted(str(k) for k in (0, 1, 2, 3, 4, 5, 6, 11, 12))
+    bare = stage("language_id")(spark, docs.withColumn("lang", F.lit(None).cast("string")), path)  # nothing to learn from: texts with a letter stay
+    assert bare.count() == 9 and stage("language_id")(spark, docs.filter("false"), path).count() == 0
+
+
+def test_stage_line_dedup(spark, table):
+    docs, path, leak, copy = table
+    out = {r.row: r.text for r in stage("line_dedup")(spark, docs, path).collect()}
+    assert out["0"] == copy and "12" not in out and out["6"] == copy and out["5"] == leak and out["7"] is None
+    assert stage("line_dedup")(spark, docs, path).columns == docs.columns and stage("line_dedup")(spark, docs.filter("false"), path).count() == 0
+
+
+def test_stage_near_duplicates(spark, table):
+    docs, path, _, _ = table
+    out = stage("near_duplicates")(spark, docs, path)
+    left = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    texts = {(r.doc_id, r.text) for r in docs.collect()}
+    gone = {(d, t) for d, t in texts if d in (2, 9)}
+    assert out.columns == docs.columns and left == sorted([*(texts - gone - {(None, None)} - {x for x in texts if x[0] is None}), *((r.doc_id, r.text) for r in docs.filter("doc_id IS NULL").collect())], key=repr)
+    assert stage("near_duplicates")(spark, docs.filter("false"), path).count() == 0
+
+
+def test_stage_decontamination(spark, table):
+    docs, path, leak, _ = table
+    out = stage("decontamination")(spark, docs, path)
+    assert out.columns == docs.columns and sorted(r.row for r in out.collect()) == sorted(r.row for r in docs.collect() if r.text != leak)
+    assert stage("decontamination")(spark, docs.filter("false"), path).count() == 0
+
+
+def test_stage_packing(spark, table):
+    docs, path, _, _ = table
+    out = stage("packing")(spark, docs, path).collect()
+    assert Counter(r.doc_id for r in out if r.start == 0) == Counter(r.doc_id for r in docs.collect())
+    assert stage("packing")(spark, docs.filter("false"), path).count() == 0
+
+
 def test_pipeline(spark, docs, tmp_path):
     spark.createDataFrame([(7, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))

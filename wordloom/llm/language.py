@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.llm.common import documents
 
@@ -318,8 +319,8 @@ def predict(docs: DataFrame, field: Field, text_col: str = "text", keep: list[st
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     keep = [c for c in keep if c not in ("lang_pred", "score", TEXT)]
     chosen = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias(TEXT))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != TEXT)
-    return chosen.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(field)), f"{schema}, lang_pred string, score double")
+    schema = T.StructType([*(f for f in chosen.schema if f.name != TEXT), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return chosen.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(field)), schema)
 
 
 def remainder(doc_id: str = "doc_id"):

@@ -17,22 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import ALNUM, Words, blocks, documents, ids_and_text
+from wordloom.llm.license_notices import NOTICES as TEMPLATES
 
 #: The phrases that count by themselves.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: (label, notice, the phrases of which one must stand in place)
-TEMPLATES = (
-    ("mit", "released under the mit license", ("mit license",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("hereby granted free of charge",)),
-    ("apache", "licensed under the apache license version 2 0", ("apache license",)),
-    ("gpl", "licensed under the gnu general public license version 3", ("general public license",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("source and binary forms",)),
-    ("cc-by", "licensed under cc by 4 0", ("cc by",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("mpl", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-)
-
-
 def hashes(text: str) -> np.ndarray:
     return next(blocks(pa.array([text]))).words(ALNUM, lower=True).hash
 
