@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 from collections import Counter
 
@@ -17,7 +18,7 @@ from wordloom.operators.decode import decode_ids, decode_pieces
 from wordloom.operators.evaluate import metrics, parity, report, samples
 from wordloom.operators.external import backend_of, external_report, external_train, slug
 from wordloom.operators.segment import Segmenter, piece_usage
-from wordloom.operators.training import fit, pruned, reindexed, rescored, trimmed
+from wordloom.operators.training import fit
 from wordloom.plans import queries
 from wordloom.plans.queries import EDGE_CASES, golden_frame, golden_model
 from wordloom.sources.corpus import from_iterable, jsonl_field, load, text_files
@@ -87,25 +88,106 @@ def test_candidates(spark):
     assert got == [("a", 4, True), ("b", 2, True), ("ab", 2, False), ("ba", 2, False)]
 
 
-def test_vocabulary_operators_match_the_driver(spark):
+def test_vocabulary_operators(spark):
     vocab = special_entries() + [Entry(4, "▁", -1.0), Entry(5, "a", -1.0), Entry(6, "ab", -5.0), Entry(7, "ba", -5.0), Entry(8, "abc", -2.0)]
     df = vocab_frame(spark, Model(vocab))
-    entries = lambda x: sorted((Entry(**r.asDict()) for r in x.collect()), key=lambda e: e.id)
-    for fraction, least in ((1 / 3, None), (1.0, None), (1.0, 8), (0.0, None)):
-        assert entries(V.prune(df, fraction, least=least)) == pruned(vocab, fraction, least=least)
-    assert [e.id for e in pruned(vocab, 1 / 3)] == [0, 1, 2, 3, 4, 5, 7, 8]
-    assert [e.id for e in pruned(vocab, 1.0)] == [0, 1, 2, 3, 4, 5]
-    assert [e.id for e in pruned(vocab, 1.0, least=8)] == [0, 1, 2, 3, 4, 5, 7, 8]
-    for target in (6, 7, 8, 20):  # at 6 nothing else fits, and all stay
-        assert entries(V.final_trim(df, target)) == trimmed(vocab, target)
-    assert len(trimmed(vocab, 6)) == len(vocab)
-    usage = {4: 3, 5: 2, 8: 5}
-    rows = spark.createDataFrame(list(usage.items()), "id int, usage long")
-    assert entries(V.rescore(df, rows)) == rescored(vocab, usage)
-    holes = [e for e in vocab if e.id not in (5, 6)]
-    assert entries(V.reindex(vocab_frame(spark, Model(holes)))) == reindexed(holes)
+    ids = lambda x: sorted(r.id for r in x.collect())
+    assert ids(V.prune(df, 1 / 3)) == [0, 1, 2, 3, 4, 5, 7, 8]
+    assert ids(V.prune(df, 1.0)) == [0, 1, 2, 3, 4, 5]
+    assert ids(V.prune(df, 1.0, least=8)) == [0, 1, 2, 3, 4, 5, 7, 8]
+    assert ids(V.prune(df, 0.0)) == list(range(9)) and ids(V.prune(df, 1e-9)) == [0, 1, 2, 3, 4, 5, 7, 8]
+    assert [ids(V.final_trim(df, n)) for n in (7, 8, 20)] == [[0, 1, 2, 3, 4, 5, 8], [0, 1, 2, 3, 4, 5, 7, 8], list(range(9))]
+    assert ids(V.final_trim(df, 6)) == list(range(9))  # nothing else fits, and all stay
+    rows = spark.createDataFrame([(4, 3), (5, 2), (8, 5)], "id int, usage long")
+    got = {r.id: r.score for r in V.rescore(df, rows).collect()}
+    assert got == {0: -10.0, 1: 0.0, 2: 0.0, 3: 0.0, 4: math.log(0.3), 5: math.log(0.2), 6: -1e9, 7: -1e9, 8: math.log(0.5)}
+    assert V.score_delta(df, V.rescore(df, rows)).first().delta == 1e9 - 5
+    holes = [e for e in vocab if e.id not in (5, 6)][::-1]
+    assert [(r.id, r.piece) for r in V.reindex(vocab_frame(spark, Model(holes))).orderBy("id").collect()] == [(0, "<unk>"), (1, "<s>"), (2, "</s>"), (3, "<pad>"), (4, "▁"), (5, "ba"), (6, "abc")]
     with pytest.raises(ValueError):
-        pruned(vocab, 1.5)
+        V.prune(df, 1.5)
+
+
+def test_words_by_themselves_are_exact():
+    rng = random.Random(9)
+    pieces = {p: -rng.randint(1, 40) / 16 for p in ("a", "b", "▁", "▁a", "ab", "ba", "aab", "bb", "▁ab")}
+    s = Segmenter(model_of(*pieces.items(), with_bytes=True))
+    whole = Segmenter(model_of(*pieces.items(), ("b▁a", -99.0), with_bytes=True))
+    assert s.by_word and not whole.by_word and not Segmenter(model_of(("a", -0.1))).by_word
+    for _ in range(80):
+        text = "".join(rng.choice("ab▁é") for _ in range(rng.randint(0, 25)))
+        assert s.segment(text) == s._path(text) and s.segment(text)[0] == s._path(text)[0]
+
+
+def test_public_names(tmp_path):
+    import wordloom
+    from wordloom import functions, operators, sources, streaming
+
+    for package in (wordloom, functions, operators, sources, streaming):
+        assert all(hasattr(package, n) for n in package.__all__)
+    write_model(golden_model(), tmp_path / "m.json")
+    t = wordloom.load_tokenizer(str(tmp_path / "m.json"))
+    assert t.runtime_name == "python" and t.encode("Muraho neza") == [7, 8, 9] == wordloom.encode_text("Muraho neza", golden_model())
+    assert t.encode_pieces("Muraho") == ["▁Mur", "aho"] and t.decode([7, 8, 9]) == t.decode_pieces(["▁Mur", "aho", "▁neza"]) == "Muraho neza"
+    assert t.count_usage(["▁Muraho", "▁Muraho"]) == {7: 2, 8: 2} and t.count_usage_dense(["▁Muraho"]) == [0] * 7 + [1, 1] + [0] * 5
+    assert wordloom.Tokenizer.from_json((tmp_path / "m.json").read_text()).normalize(" a") == "▁a"
+    with pytest.raises(ModuleNotFoundError):
+        wordloom.load_tokenizer(str(tmp_path / "m.json"), "native")
+    with pytest.raises(ValueError, match="normalization-v1"):
+        wordloom.normalize_text("a", wordloom.NormalizationConfig(trim=False))
+
+
+def test_command_line_errors(spark, tmp_path, capsys):
+    write_model(golden_model(), tmp_path / "m.json")
+    (tmp_path / "bad.jsonl").write_text('{"text": "a"}\n{\n')
+    (tmp_path / "fine.jsonl").write_text('{"text": "a"}\n')
+    (tmp_path / "odd.json").write_text("[]")
+    m, bad, fine = str(tmp_path / "m.json"), str(tmp_path / "bad.jsonl"), str(tmp_path / "fine.jsonl")
+    for argv, said in (
+        (["eval", "--model", m, "--input-format", "jsonl", "--field", "text", bad], f"invalid JSON at {bad}:2"),
+        (["eval", "--model", m, str(tmp_path / "none.txt")], "no such file"),
+        (["eval", "--model", str(tmp_path / "none.json"), bad], "none.json"),
+        (["eval", "--model", m, "--input-format", "jsonl", bad], "--field is required"),
+        (["encode", "--model", m, "--runtime", "native", "x"], "native"),
+        (["encode", "--model", str(tmp_path / "odd.json"), "x"], "model must be a JSON object"),
+        (["train", "--output-dir", str(tmp_path / "o"), "--input-format", "jsonl", "--field", "body", fine], f"missing field 'body' at {fine}:1"),
+    ):
+        assert cli.main(argv) == 1
+        err = capsys.readouterr().err
+        assert said in err and len(err.splitlines()) == 1, err
+    with pytest.raises(SystemExit) as stop:
+        cli.main(["--version"])
+    assert stop.value.code == 0 and capsys.readouterr().out.startswith("wordloom ")
+
+
+def test_files_of_several_blocks(spark, tmp_path):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+    try:
+        paths = [str(tmp_path / n) for n in ("b +x.txt", "a.txt", "c.txt")]
+        lines = [[f"{k} {n}" for n in range(c)] for k, c in enumerate((700, 1, 300))]
+        for p, own in zip(paths, lines):
+            with open(p, "w") as f:
+                f.write("".join(x + "\n" for x in own))
+        rows = text_files(spark, [*paths, paths[1]]).collect()
+        assert sorted((r.file_no, r.line_no, r.text) for r in rows) == [(k, n, x) for k, own in enumerate([*lines, lines[1]]) for n, x in enumerate(own)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("name", ["encode_documents", "usage", "rescore_vocab", "decode_ids_join", "eval_metrics", "sample_segmentations", "validate_model", "train_words", "read_jsonl_files"])
+def test_sql_of_best_paths(spark, tmp_path, name):
+    import duckdb
+
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(["mura", "muramura", "ra|ne", "zaza", "né", "x\ny", "▁▁ab"]) for _ in range(rng.randint(0, 9))) for _ in range(40)] + ["", "é" * 9, "q"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.queries()[name](spark, str(tmp_path))
+    columns = sorted(got.columns)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == sorted(want, key=repr)
 
 
 def test_training(spark):
@@ -183,7 +265,13 @@ def test_decode():
         (lambda m: m["vocab"][4].update(special="odd"), "unsupported special"),
         (lambda m: m["vocab"][0].update(special=None), "exactly one vocab entry"),
         (lambda m: m["vocab"][4].pop("score"), "missing field 'score'"),
-        (lambda m: m["vocab"][4].update(id=True), "must be an integer"),
+        (lambda m: m["vocab"][4].update(id=True), r"vocab\[4\].id must be an integer"),
+        (lambda m: m["vocab"][4].update(special=3), r"vocab\[4\].special must be string or null"),
+        (lambda m: m.update(vocab={}), "^vocab must be a list"),
+        (lambda m: m.update(version=1), "^version must be a string"),
+        (lambda m: m.update(trainer=[]), "^trainer must be a JSON object"),
+        (lambda m: m["normalization"].update(trim=1), "^normalization.trim must be a boolean"),
+        (lambda m: m.pop("name"), "^model is missing field 'name'"),
     ],
 )
 def test_bad_models(change, message):

@@ -4,52 +4,55 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 import sys
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from wordloom import __version__
 from wordloom.functions.normalize import normalize_text
 from wordloom.model import TrainerConfig, load_model, write_model, write_report, write_vocab
-from wordloom.operators.decode import decode_ids, decode_pieces
 from wordloom.operators.evaluate import parity, report
 from wordloom.operators.external import backend_of, external_report, external_train
-from wordloom.operators.segment import Segmenter
 from wordloom.operators.training import fit
 from wordloom.sources.corpus import golden_cases, load
+from wordloom.tokenizer import RUNTIMES, load_tokenizer
 
 
 def parser() -> argparse.ArgumentParser:
-    top = argparse.ArgumentParser(prog="wordloom")
+    top = argparse.ArgumentParser(prog="wordloom", description="Unigram tokenizers: training, encoding, decoding, evaluation and parity checks.")
+    top.add_argument("--version", action="version", version=f"wordloom {__version__}")
     sub = top.add_subparsers(dest="command", required=True)
-    sub.add_parser("normalize").add_argument("text")
+    sub.add_parser("normalize", help="Normalize a text.").add_argument("text", help="The text.")
     corpus = argparse.ArgumentParser(add_help=False)
-    corpus.add_argument("--input-format", choices=("text", "jsonl"), default="text")
-    corpus.add_argument("--field")
-    corpus.add_argument("--sample-limit", type=int, default=8)
-    corpus.add_argument("paths", nargs="+")
+    corpus.add_argument("--input-format", choices=("text", "jsonl"), default="text", help="A document a line, or a JSON object a line.")
+    corpus.add_argument("--field", help="The field of each JSON object that holds the text.")
+    corpus.add_argument("--sample-limit", type=int, default=8, help="Segmentations to show in a report.")
+    corpus.add_argument("paths", nargs="+", help="Files, in order.")
     own = argparse.ArgumentParser(add_help=False)
-    own.add_argument("--model", required=True)
-    own.add_argument("--runtime", choices=("auto", "python", "native"), default="auto", help="accepted for all names: there is one engine")
-    p = sub.add_parser("train", parents=[corpus])
+    own.add_argument("--model", required=True, help="The model file (JSON).")
+    own.add_argument("--runtime", choices=RUNTIMES, default="auto", help="auto and python are this engine; native asks for an extension module, and fails without one.")
+    p = sub.add_parser("train", parents=[corpus], help="Train a model on files.")
     p.add_argument("--backend", choices=("custom", "sentencepiece"), default="custom")
-    p.add_argument("--output-dir", required=True)
-    p.add_argument("--name", default="unigram-model")
-    p.add_argument("--vocab-size", type=int, default=TrainerConfig.vocab_size)
-    p = sub.add_parser("eval", parents=[corpus])
-    p.add_argument("--model", required=True)
+    p.add_argument("--output-dir", required=True, help="Where model, vocabulary and report go.")
+    p.add_argument("--name", default="unigram-model", help="The model's name.")
+    p.add_argument("--vocab-size", type=int, default=TrainerConfig.vocab_size, help="Pieces to aim at.")
+    p = sub.add_parser("eval", parents=[corpus], help="Report on a model over files.")
+    p.add_argument("--model", required=True, help="A JSON or SentencePiece model.")
     p.add_argument("--backend", choices=("auto", "custom", "sentencepiece"), default="auto")
-    p.add_argument("--output")
-    p = sub.add_parser("encode", parents=[own])
-    p.add_argument("--pieces", action="store_true")
-    p.add_argument("text")
-    p = sub.add_parser("decode", parents=[own])
-    p.add_argument("ids", nargs="+", type=int)
-    p = sub.add_parser("decode-pieces", parents=[own])
-    p.add_argument("pieces", nargs="+")
-    p = sub.add_parser("parity", parents=[own])
-    p.add_argument("--cases", required=True)
+    p.add_argument("--output", help="Where the report goes too.")
+    p = sub.add_parser("encode", parents=[own], help="Ids or pieces of a text.")
+    p.add_argument("--pieces", action="store_true", help="Pieces, not ids.")
+    p.add_argument("text", help="The text.")
+    p = sub.add_parser("decode", parents=[own], help="The text of ids.")
+    p.add_argument("ids", nargs="+", type=int, help="Ids.")
+    p = sub.add_parser("decode-pieces", parents=[own], help="The text of pieces.")
+    p.add_argument("pieces", nargs="+", help="Pieces.")
+    p = sub.add_parser("parity", parents=[own], help="Hold a model against pinned cases.")
+    p.add_argument("--cases", required=True, help="The cases, a JSON object a line.")
     return top
 
 
@@ -62,18 +65,20 @@ def run(args: argparse.Namespace) -> int:
     if args.command == "normalize":
         print(normalize_text(args.text))
         return 0
-    if args.command in ("encode", "decode", "decode-pieces"):
-        model = load_model(args.model)
+    if args.command in ("encode", "decode", "decode-pieces", "parity"):
+        own = load_tokenizer(args.model, args.runtime)
         if args.command == "encode":
-            seg = Segmenter(model).full(normalize_text(args.text))
-            show(list(seg.pieces if args.pieces else seg.ids))
-        else:
-            print(decode_ids(args.ids, model) if args.command == "decode" else decode_pieces(args.pieces))
-        return 0
+            show(own.encode_pieces(args.text) if args.pieces else own.encode(args.text))
+        elif args.command == "decode":
+            print(own.decode(args.ids))
+        elif args.command == "decode-pieces":
+            print(own.decode_pieces(args.pieces))
+        if args.command != "parity":
+            return 0
     spark = SparkSession.builder.getOrCreate()
     if args.command == "parity":
         cases = golden_cases(spark, args.cases)
-        bad = parity(cases, load_model(args.model)).filter(F.size("failed_fields") > 0).orderBy("line_no").collect()
+        bad = parity(cases, own.model).filter(F.size("failed_fields") > 0).orderBy("line_no").collect()
         total = cases.count()
         wrong = [{"case_id": r["case_id"], "line": r["line_no"] + 1, "failed_fields": r["failed_fields"]} for r in bad]
         show({"model": args.model, "cases": args.cases, "runtime": "spark", "total": total, "failed": len(wrong), "passed": total - len(wrong), "ok": not wrong, "mismatches": wrong}, 2)
@@ -103,11 +108,23 @@ def run(args: argparse.Namespace) -> int:
     return 0
 
 
+def message(e: Exception) -> str:
+    """What went wrong, in one line; Spark's own texts and classes are left out."""
+    if not isinstance(e, PySparkException):
+        return str(e)
+    said = str(e)
+    if raised := re.search(r"\[USER_RAISED_EXCEPTION\] (.+?)(?: SQLSTATE|\n|$)", said):
+        return raised[1]
+    if absent := re.search(r"\[PATH_NOT_FOUND\][^:]*: (.+?)\. ?(?:Verify|SQLSTATE)", said):
+        return f"no such file: {absent[1]}"
+    return (said.strip().splitlines() or [type(e).__name__])[0]
+
+
 def main(argv: list[str] | None = None) -> int:
     try:
         return run(parser().parse_args(argv))
-    except (OSError, ValueError, RuntimeError, KeyError, TypeError) as e:
-        print(e, file=sys.stderr)
+    except (OSError, ValueError, RuntimeError, ImportError, KeyError, TypeError, PySparkException) as e:
+        print(message(e), file=sys.stderr)
         return 1
 
 

@@ -10,15 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.model import MARKER
+from wordloom.model import MARKER, NormalizationConfig
 
 #: What counts as white space.
 SPACE_CLASS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 _SPACES = re.compile(SPACE_CLASS)
 
 
-def normalize_text(text: str) -> str:
-    """The same for one string on the driver."""
+def normalize_text(text: str, config: NormalizationConfig | None = None) -> str:
+    """The same for one string on the driver. There is one normalization; another config is an error."""
+    if config is not None and config != NormalizationConfig():
+        raise ValueError("normalization config does not match normalization-v1")
     if not isinstance(text, str):
         raise TypeError(f"text must be str, got {type(text).__name__}")
     text = _SPACES.sub(" ", unicodedata.normalize("NFC", text)).strip(" ").replace(" ", MARKER)

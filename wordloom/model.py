@@ -6,6 +6,7 @@ import json
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import types as T
 
 #: Fixed values of the model format.
@@ -117,33 +118,45 @@ def validate(model: Model) -> None:
         need(found[0].id == own, f"special token {name!r} must use id {own}")
 
 
-_KINDS = {str: "a string", bool: "a boolean", int: "an integer", float: "a number", dict: "a JSON object", list: "a JSON array"}
+#: How the format names the kinds of values in its messages.
+_KINDS = {str: "a string", bool: "a boolean", int: "an integer", float: "a number"}
+_ROOT = ("version", "name", "model_type", "vocab_size", "normalization", "special_token_ids", "vocab", "trainer")
 
 
-def _get(raw: dict, key: str, kind: type, context: str):
+def _object(raw, context: str, fields) -> dict:
     if not isinstance(raw, dict):
         raise ModelError(f"{context} must be a JSON object")
-    if key not in raw:
-        raise ModelError(f"{context} is missing field {key!r}")
-    value = raw[key]
-    ok = isinstance(value, (int, float) if kind is float else kind) and not (isinstance(value, bool) and kind is not bool)
+    if absent := [f for f in fields if f not in raw]:
+        raise ModelError(f"{context} is missing field {absent[0]!r}")
+    return raw
+
+
+def _value(value, kind: type, context: str):
+    ok = isinstance(value, (int, float) if kind is float else kind) and isinstance(value, bool) == (kind is bool)
     if not ok:
-        raise ModelError(f"{context}.{key} must be {_KINDS[kind]}")
+        raise ModelError(f"{context} must be {_KINDS[kind]}")
     return float(value) if kind is float else value
 
 
+def _entry(raw, at: str) -> Entry:
+    raw = _object(raw, at, ("id", "piece", "score", "special"))
+    if not isinstance(raw["special"], str | None):
+        raise ModelError(f"{at}.special must be string or null")
+    return Entry(*(_value(raw[k], kind, f"{at}.{k}") for k, kind in (("id", int), ("piece", str), ("score", float))), raw["special"])
+
+
 def model_from_dict(raw: dict) -> Model:
-    norm, ids = _get(raw, "normalization", dict, "model"), _get(raw, "special_token_ids", dict, "model")
-    vocab = []
-    for k, e in enumerate(_get(raw, "vocab", list, "model")):
-        at = f"vocab[{k}]"
-        special = e.get("special") if isinstance(e, dict) and "special" in e and e["special"] is None else _get(e, "special", str, at)
-        vocab.append(Entry(_get(e, "id", int, at), _get(e, "piece", str, at), _get(e, "score", float, at), special))
-    model = Model(
-        vocab, _get(raw, "name", str, "model"), _get(raw, "trainer", dict, "model"), _get(raw, "version", str, "model"), _get(raw, "model_type", str, "model"),
-        NormalizationConfig(**{k: _get(norm, k, type(v), "normalization") for k, v in NORMALIZATION.items()}),
-        {k: _get(ids, k, int, "special_token_ids") for k in SPECIAL_IDS}, _get(raw, "vocab_size", int, "model"),
-    )
+    raw = _object(raw, "model", _ROOT)
+    norm = _object(raw["normalization"], "normalization", NORMALIZATION)
+    ids = _object(raw["special_token_ids"], "special_token_ids", SPECIAL_IDS)
+    if not isinstance(raw["vocab"], list):
+        raise ModelError("vocab must be a list")
+    trainer = dict(_object(raw["trainer"], "trainer", ()))
+    own = {k: _value(norm[k], type(v), f"normalization.{k}") for k, v in NORMALIZATION.items()}
+    special = {k: _value(ids[k], int, f"special_token_ids.{k}") for k in SPECIAL_IDS}
+    vocab = [_entry(e, f"vocab[{k}]") for k, e in enumerate(raw["vocab"])]
+    root = {k: _value(raw[k], kind, k) for k, kind in (("version", str), ("name", str), ("model_type", str), ("vocab_size", int))}
+    model = Model(vocab=vocab, trainer=trainer, normalization=NormalizationConfig(**own), special_token_ids=special, **root)
     validate(model)
     return model
 
@@ -174,4 +187,8 @@ def write_report(report: dict, path: str) -> None:
 
 
 def vocab_frame(spark, model: Model):
-    return spark.createDataFrame([(e.id, e.piece, e.score, e.special) for e in model.vocab], VOCAB)
+    """The vocabulary as a table: handed over as Arrow, so that plans hold it as local rows."""
+    columns = zip(*((e.id, e.piece, e.score, e.special) for e in model.vocab)) if model.vocab else [()] * 4
+    kinds = (pa.int32(), pa.string(), pa.float64(), pa.string())
+    table = pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=VOCAB.fieldNames())
+    return spark.createDataFrame(table, VOCAB)

@@ -1,13 +1,17 @@
 """Queries over the whole `documents` table, one or more for each operator, with SQL for DuckDB.
 
-Segmentation is held against SQL with a model of single characters (the 40 most frequent ones), for which the
-best path is known; tests hold longer pieces against pinned cases. The `_trained` queries have no SQL: they segment
-with a model that `fit` trains under the production settings over the whole table, and a test holds them against all paths.
+Segmentation is held against SQL that finds best paths itself, by a recursive query over the distinct words. The
+model for it has the corpus's most frequent word parts of up to 8 characters (none goes across a marker) with
+scores rounded to 1/1024, so that sums are exact in any order; rare characters are left out, so that unknown
+and byte tokens occur. `train_words` is training, rounds and all, on the words. The `_trained` queries have no SQL: they
+segment with a model that `fit` trains under the production settings over the whole table (parts across markers, scores
+of any value), and a test holds them against all paths.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.byte_pieces import byte_rows, byte_value_column
 from wordloom.functions.normalize import normalized, normalized_documents
-from wordloom.model import Entry, Model, TrainerConfig, byte_entries, special_entries, vocab_frame
+from wordloom.model import MARKER, UNUSED_SCORE, Entry, Model, TrainerConfig, byte_entries, special_entries, vocab_frame
 from wordloom.operators import vocabulary as V
 from wordloom.operators.candidates import seed_candidates, substring_counts
 from wordloom.operators.decode import decoded, with_pieces
@@ -23,9 +27,13 @@ from wordloom.operators.evaluate import METRICS, metrics, parity, samples
 from wordloom.operators.external import external_segmentation
 from wordloom.operators.segment import encode_ids, piece_usage, segmentation
 from wordloom.operators.training import fit
-from wordloom.sources.corpus import spread
+from wordloom.sources.corpus import load, shared_folder, spread
 
-CHARS, CANDIDATES = 40, TrainerConfig(max_piece_chars=4, seed_candidate_limit=2000)
+CANDIDATES = TrainerConfig(max_piece_chars=4, seed_candidate_limit=2000)
+PARTS = TrainerConfig(max_piece_chars=8, seed_candidate_limit=4000)
+#: A character with less than this share of all is not in the word model.
+RARE = 2000
+WORDS = TrainerConfig(vocab_size=600, max_piece_chars=4, seed_candidate_limit=1200, max_iterations=3, prune_fraction=0.3, byte_fallback=False)
 
 EDGE_CASES = ("", " \t \n ", "  Muraho\t\tneza  ", "Muraho\r\nneza", "Café", "a\u001cb\u001fc", "x　y z", "▁abc", "​a", "a\rb", "Muraho, neza!")
 
@@ -67,11 +75,19 @@ def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_counts(_texts(spark, sf_dir), 1)
 
 
-def char_model(spark: SparkSession, sf_dir: str, with_bytes: bool = False) -> Model:
-    rows = _inventory(spark, sf_dir).orderBy(F.desc("count"), "piece").limit(CHARS).collect()
-    total = sum(r["count"] for r in rows)
-    vocab = special_entries() + [Entry(4 + k, r["piece"], math.log(r["count"] / total)) for k, r in enumerate(rows)]
-    return Model(vocab + (byte_entries(len(vocab)) if with_bytes else []), "characters")
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct words, markers in front, and their counts."""
+    each = _texts(spark, sf_dir).select(F.explode(F.regexp_extract_all("normalized", F.lit(f"{MARKER}[^{MARKER}]*"), F.lit(0))).alias("normalized"))
+    return each.groupBy("normalized").agg(F.count("*").alias("weight"))
+
+
+def word_model(spark: SparkSession, sf_dir: str, with_bytes: bool = False) -> Model:
+    rows = seed_candidates(words(spark, sf_dir), PARTS, "weight").orderBy("position").collect()
+    chars, total = sum(r["count"] for r in rows if r["protected"]), sum(r["count"] for r in rows)
+    rows = [r for r in rows if not r["protected"] or r["count"] * RARE >= chars]
+    vocab = special_entries() + [Entry(4 + r["position"], r["piece"], math.floor(math.log(r["count"] / total) * 1024 + 0.5) / 1024) for r in rows]
+    vocab = vocab[:4] + [Entry(k, e.piece, e.score) for k, e in enumerate(vocab[4:], 4)]
+    return Model(vocab + (byte_entries(len(vocab)) if with_bytes else []), "words")
 
 
 def normalize_documents(spark, sf_dir):
@@ -117,7 +133,7 @@ def _encoded(spark: SparkSession, sf_dir: str, model: Model) -> DataFrame:
 
 
 def encode_documents(spark, sf_dir):
-    return _encoded(spark, sf_dir, char_model(spark, sf_dir))
+    return _encoded(spark, sf_dir, word_model(spark, sf_dir))
 
 
 def encode_trained(spark, sf_dir):
@@ -133,16 +149,16 @@ def eval_trained(spark, sf_dir):
 
 
 def usage(spark, sf_dir):
-    return piece_usage(_texts(spark, sf_dir), char_model(spark, sf_dir))
+    return piece_usage(_texts(spark, sf_dir), word_model(spark, sf_dir))
 
 
 def rescore_vocab(spark, sf_dir):
-    model = char_model(spark, sf_dir)
+    model = word_model(spark, sf_dir)
     return V.rescore(vocab_frame(spark, model), piece_usage(_texts(spark, sf_dir), model))
 
 
 def score_delta(spark, sf_dir):
-    model = char_model(spark, sf_dir)
+    model = word_model(spark, sf_dir)
     return V.score_delta(vocab_frame(spark, model), rescore_vocab(spark, sf_dir))
 
 
@@ -159,27 +175,41 @@ def reindex_vocab(spark, sf_dir):
 
 
 def decode_roundtrip(spark, sf_dir):
-    seg = segmentation(char_model(spark, sf_dir, with_bytes=True))("normalized")
+    seg = segmentation(word_model(spark, sf_dir, with_bytes=True))("normalized")
     return _texts(spark, sf_dir).select("doc_id", decoded(seg["pieces"]).alias("decoded"))
 
 
 def decode_ids_join(spark, sf_dir):
-    model = char_model(spark, sf_dir)
+    model = word_model(spark, sf_dir)
     rows = _texts(spark, sf_dir).select("doc_id", encode_ids(model)("normalized").alias("ids"))
     return with_pieces(rows, vocab_frame(spark, model)).select("doc_id", F.md5(F.array_join("pieces", "")).alias("pieces_md5"))
 
 
 def eval_metrics(spark, sf_dir):
-    return metrics(_docs(spark, sf_dir), char_model(spark, sf_dir))
+    return metrics(_docs(spark, sf_dir), word_model(spark, sf_dir))
 
 
 def sample_segmentations(spark, sf_dir):
-    rows = samples(_docs(spark, sf_dir), char_model(spark, sf_dir))
+    rows = samples(_docs(spark, sf_dir), word_model(spark, sf_dir))
     return rows.select("doc_id", F.array_join("pieces", "|").alias("pieces"), "decoded")
 
 
+def broken_models(model: Model) -> dict[str, list[Entry]]:
+    """Vocabularies by name: the model's own, and one for each rule that it can break."""
+    own, last = list(model.vocab), len(model.vocab) - 1
+    return {
+        "ok": own, "gap": [*own[:-1], Entry(last + 1, own[-1].piece, own[-1].score)], "twice": [*own[:-1], Entry(last, own[4].piece, own[-1].score)],
+        "no_byte": own[:-1], "odd_special": [*own[:-1], Entry(last, own[-1].piece, own[-1].score, "odd")], "two_unknown": [*own[:5], Entry(5, own[5].piece, own[5].score, "unk"), *own[6:]],
+        "no_unknown": [Entry(0, "<unk>", -10.0), *own[1:]],
+    }
+
+
 def validate_model(spark, sf_dir):
-    return V.checks(vocab_frame(spark, char_model(spark, sf_dir, with_bytes=True)))
+    out = None
+    for case, vocab in broken_models(word_model(spark, sf_dir, with_bytes=True)).items():
+        row = V.checks(vocab_frame(spark, Model(vocab))).withColumn("case_name", F.lit(case))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def parity_report(spark, sf_dir):
@@ -200,10 +230,40 @@ def train_small(spark, sf_dir):
     return vocab_frame(spark, fit(_docs(spark, sf_dir), config))
 
 
+def train_words(spark, sf_dir):
+    model = fit(words(spark, sf_dir), WORDS, text_col="normalized", weight="weight")
+    return vocab_frame(spark, model)
+
+
+def _written_files(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """The texts of documents without line ends, as files of lines that the readers then read."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    line = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id IS NOT NULL")
+    value = F.concat_ws("\t", F.col("doc_id").cast("string"), line)
+    rows.select((value if kind == "text" else F.to_json(F.struct(value.alias("text")))).alias("value")).write.text(path)
+    return path
+
+
+def _read_back(spark, sf_dir, kind: str) -> DataFrame:
+    files = sorted(spark.read.text(_written_files(spark, sf_dir, kind)).select("_metadata.file_path").distinct().toPandas()["file_path"])
+    rows = load(spark, files, kind, "text")
+    parts = F.split("text", "\t", 2)
+    return rows.select(parts[0].cast("long").alias("doc_id"), F.md5(parts[1]).alias("text_md5"))
+
+
+def read_text_files(spark, sf_dir):
+    return _read_back(spark, sf_dir, "text")
+
+
+def read_jsonl_files(spark, sf_dir):
+    return _read_back(spark, sf_dir, "jsonl")
+
+
 ALL = (
     normalize_documents, normalize_edge_cases, line_scan, char_inventory, seed_candidates_topk, seed_scores, byte_pieces, encode_documents, usage, rescore_vocab,
     score_delta, prune_vocab, final_trim, reindex_vocab, decode_roundtrip, decode_ids_join, eval_metrics, sample_segmentations, validate_model, parity_report, external_encode, train_small,
-    encode_trained, usage_trained, eval_trained,
+    train_words, read_text_files, read_jsonl_files, encode_trained, usage_trained, eval_trained,
 )
 
 
@@ -224,12 +284,45 @@ def _normalized_sql(text: str) -> str:
 
 
 _NORM = f"norm AS (SELECT doc_id, normalized FROM (SELECT doc_id, {_normalized_sql('text')} AS normalized FROM documents) WHERE normalized <> '')"
-_CHARS = f"""{_NORM}, chars AS (SELECT doc_id, unnest(string_split(normalized, '')) AS piece, generate_subscripts(string_split(normalized, ''), 1) AS pos FROM norm),
+_CHARS = f"""{_NORM}, chars AS (SELECT doc_id, unnest(string_split(normalized, '')) AS piece FROM norm),
 inventory AS (SELECT piece, count(*) AS "count" FROM chars GROUP BY piece)"""
-_MODEL = f"""{_CHARS}, top AS (SELECT piece, "count", (3 + row_number() OVER (ORDER BY "count" DESC, piece))::INTEGER AS id FROM inventory ORDER BY "count" DESC, piece LIMIT {CHARS}),
-model AS (SELECT id, piece, ln("count" / sum("count") OVER ()) AS score FROM top),
-tokens AS (SELECT doc_id, pos, coalesce(id, 0)::INTEGER AS id, CASE WHEN id IS NULL THEN '<unk>' ELSE chars.piece END AS piece FROM chars LEFT JOIN top USING (piece)),
-used AS (SELECT id, count(*) AS usage FROM tokens GROUP BY id)"""
+
+
+def _parts_sql(config: TrainerConfig) -> str:
+    """The distinct words and the seeds among their parts."""
+    return f"""placed AS (SELECT doc_id, unnest(regexp_extract_all(normalized, '▁[^▁]*')) AS word, generate_subscripts(regexp_extract_all(normalized, '▁[^▁]*'), 1) AS nth FROM norm),
+words AS (SELECT word, count(*) AS weight FROM placed GROUP BY word),
+suffixes AS (SELECT word, weight, unnest(range(1, length(word) + 1)) AS place FROM words),
+parts AS (SELECT substring(word, place, n) AS piece, weight FROM suffixes, (SELECT unnest(range(1, {config.max_piece_chars + 1})) AS n) WHERE place + n - 1 <= length(word)),
+counted AS (SELECT piece, sum(weight) AS "count" FROM parts GROUP BY piece),
+single AS (SELECT piece, "count", true AS protected FROM counted WHERE length(piece) = 1),
+many AS (SELECT piece, "count", false AS protected, row_number() OVER (ORDER BY "count" DESC, piece) AS rn FROM counted WHERE length(piece) > 1 AND "count" >= 2),
+seeds AS (SELECT piece, "count", protected, (row_number() OVER (ORDER BY protected DESC, CASE WHEN protected THEN 0 ELSE -"count" END, piece) - 1)::INTEGER AS position
+  FROM (SELECT * FROM single UNION ALL SELECT piece, "count", protected FROM many WHERE rn <= {config.seed_candidate_limit} - (SELECT count(*) FROM single)))"""
+
+
+def _paths_sql(k: str, model: str, longest: int) -> str:
+    """path{k} (word, tokens, ids): each word's best path. Offsets are worked on from the right; rows keep the last few ones' best."""
+    return f"""walk{k} AS (
+  SELECT word, length(word) AS spot, [0.0::DOUBLE] AS vs, [0::BIGINT] AS cs, [''] AS ps FROM words
+  UNION ALL
+  SELECT word, spot - 1, list_prepend(v, vs)[1 : {longest}], list_prepend(c, cs)[1 : {longest}], list_prepend(id || CASE WHEN ps[n] = '' THEN '' ELSE ',' || ps[n] END, ps)[1 : {longest}] FROM (
+    SELECT word, spot, vs, cs, ps, coalesce(top.v, -10 + vs[1]) AS v, coalesce(-top.c, 1 + cs[1]) AS c, coalesce(top.n, 1) AS n, coalesce(top.id, 0)::VARCHAR AS id FROM (
+      SELECT word, spot, any_value(vs) AS vs, any_value(cs) AS cs, any_value(ps) AS ps, max({{'v': score + vs[n], 'c': -1 - cs[n], 'n': n, 'id': id}}) FILTER (id IS NOT NULL) AS top
+      FROM (SELECT * FROM walk{k} WHERE spot > 0) AS w CROSS JOIN (SELECT unnest(range(1, {longest + 1})) AS n) AS r LEFT JOIN {model} AS m ON m.piece = substring(w.word, w.spot, r.n) AND w.spot + r.n - 1 <= length(w.word)
+      GROUP BY word, spot))),
+path{k} AS (SELECT word, cs[1] AS tokens, ps[1] AS ids FROM walk{k} WHERE spot = 0)"""
+
+
+_MODEL = f"""{_NORM}, {_parts_sql(PARTS)},
+told AS (SELECT piece, position, ln("count" / sum("count") OVER ()) AS score, protected AND "count" * {RARE} < sum("count") FILTER (protected) OVER () AS rare FROM seeds),
+model AS (SELECT (3 + row_number() OVER (ORDER BY position))::INTEGER AS id, piece, floor(score * 1024 + 0.5) / 1024 AS score FROM told WHERE NOT rare),
+{_paths_sql("", "model", PARTS.max_piece_chars)},
+known AS (SELECT id, piece FROM model UNION ALL SELECT 0, '<unk>'),
+tokens AS (SELECT word, k, id::INTEGER AS id FROM (SELECT word, unnest(string_split(ids, ',')) AS id, generate_subscripts(string_split(ids, ','), 1) AS k FROM path)),
+spelt AS (SELECT word, string_agg(piece, '|' ORDER BY k) AS pieces, string_agg(piece, '' ORDER BY k) AS whole FROM tokens JOIN known USING (id) GROUP BY word),
+used AS (SELECT id, sum(weight)::BIGINT AS usage FROM tokens JOIN words USING (word) GROUP BY id),
+again AS (SELECT model.id, piece, CASE WHEN usage > 0 THEN ln(usage / sum(usage) OVER ()) ELSE {UNUSED_SCORE} END AS score FROM model LEFT JOIN used USING (id))"""
 _SEEDS = f"""{_NORM}, suffixes AS (SELECT normalized, unnest(range(1, length(normalized) + 1)) AS place FROM norm),
 parts AS (SELECT substring(normalized, place, n) AS piece FROM suffixes, (SELECT unnest(range(1, 5)) AS n) WHERE place + n - 1 <= length(normalized)),
 counted AS (SELECT piece, count(*) AS "count" FROM parts GROUP BY piece),
@@ -244,6 +337,32 @@ free AS (SELECT id, row_number() OVER (ORDER BY score, length(piece), piece, id)
 trimmed AS (SELECT id, piece, special FROM ranked LEFT JOIN free USING (id) WHERE protected OR nth > n - (1000 - (SELECT count(*) FROM ranked WHERE protected)))"""
 
 
+RULES = ("ids_contiguous", "pieces_unique", "bytes_complete", "specials_known", "one_unknown")
+BROKEN = {
+    "ok": (), "gap": ("ids_contiguous",), "twice": ("pieces_unique", "bytes_complete"), "no_byte": ("bytes_complete",), "odd_special": ("specials_known",), "two_unknown": ("one_unknown",),
+    "no_unknown": ("one_unknown",),
+}
+
+
+def _training_sql() -> str:
+    """Rounds of best paths, new scores and pruning, then the trim and dense ids."""
+    c = WORDS
+    out = [f"""{_NORM}, {_parts_sql(c)},
+vocab0 AS (SELECT (position + 4)::INTEGER AS id, piece, ln("count" / sum("count") OVER ()) AS score FROM seeds)"""]
+    for k in range(c.max_iterations):
+        out.append(f"""{_paths_sql(str(k), f"vocab{k}", c.max_piece_chars)},
+used{k} AS (SELECT id::INTEGER AS id, sum(weight) AS usage FROM (SELECT word, unnest(string_split(ids, ',')) AS id FROM path{k}) JOIN words USING (word) GROUP BY ALL),
+scored{k} AS (SELECT id, piece, CASE WHEN usage > 0 THEN ln(usage / sum(usage) OVER ()) ELSE {UNUSED_SCORE} END AS score, length(piece) > 1 AS free FROM vocab{k} LEFT JOIN used{k} USING (id)),
+ranked{k} AS (SELECT *, row_number() OVER (PARTITION BY free ORDER BY score, length(piece), piece, id) AS nth FROM scored{k}),
+size{k} AS (SELECT count(*) + 4 AS n, count(*) FILTER (free) AS f FROM scored{k}),
+vocab{k + 1} AS (SELECT id, piece, score FROM ranked{k} WHERE NOT free OR nth > (SELECT least(f, greatest(floor(f * {c.prune_fraction}::DOUBLE), 1), greatest(n - {c.vocab_size}, 0)) FROM size{k}))""")
+    last = f"vocab{c.max_iterations}"
+    out.append(f"""ordered AS (SELECT *, length(piece) > 1 AS free, row_number() OVER (PARTITION BY length(piece) > 1 ORDER BY score DESC, length(piece) DESC, piece DESC, id DESC) AS nth FROM {last}),
+trimmed AS (SELECT id, piece, score FROM ordered WHERE NOT free OR nth <= {c.vocab_size} - 4 - (SELECT count(*) FROM ordered WHERE NOT free))""")
+    body = ",\n".join(out)
+    return f"WITH RECURSIVE {body} SELECT (3 + row_number() OVER (ORDER BY id))::INTEGER AS id, piece, score, NULL::VARCHAR AS special FROM trimmed UNION ALL SELECT * FROM {_SPECIAL_SQL}"
+
+
 def oracle_sql() -> dict[str, str]:
     edge = ", ".join(f"({k}, {_quoted(t)})" for k, t in enumerate(EDGE_CASES))
     golden = ", ".join(f"('{c[0]}', '')" for c in GOLDEN_CASES)
@@ -255,19 +374,22 @@ def oracle_sql() -> dict[str, str]:
         "seed_candidates_topk": f'WITH {_SEEDS} SELECT piece, "count", protected, position FROM seeds',
         "seed_scores": f'WITH {_SEEDS} SELECT (position + 4)::INTEGER AS id, piece, ln("count" / sum("count") OVER ()) AS score, NULL::VARCHAR AS special FROM seeds',
         "byte_pieces": "SELECT (b + 4)::INTEGER AS id, chr(57344) || printf('%02X', b) AS piece, -100.0::DOUBLE AS score, b::INTEGER AS value FROM range(256) AS r(b)",
-        "encode_documents": f"WITH {_MODEL} SELECT doc_id, count(*) AS n_tokens, md5(string_agg(id::VARCHAR, ',' ORDER BY pos)) AS ids_md5 FROM tokens GROUP BY doc_id",
-        "usage": f"WITH {_MODEL} SELECT id, usage FROM used",
-        "rescore_vocab": f"WITH {_MODEL} SELECT id, piece, ln(usage / sum(usage) OVER ()) AS score, NULL::VARCHAR AS special FROM model JOIN used USING (id) UNION ALL SELECT * FROM {_SPECIAL_SQL}",
-        "score_delta": f"WITH {_MODEL}, again AS (SELECT id, ln(usage / sum(usage) OVER ()) AS s FROM model JOIN used USING (id)) SELECT max(abs(score - s)) AS delta FROM model JOIN again USING (id)",
+        "encode_documents": f"WITH RECURSIVE {_MODEL} SELECT doc_id, sum(tokens)::BIGINT AS n_tokens, md5(string_agg(ids, ',' ORDER BY nth)) AS ids_md5 FROM placed JOIN path USING (word) GROUP BY doc_id",
+        "usage": f"WITH RECURSIVE {_MODEL} SELECT id, usage FROM used",
+        "rescore_vocab": f"WITH RECURSIVE {_MODEL} SELECT id, piece, score, NULL::VARCHAR AS special FROM again UNION ALL SELECT * FROM {_SPECIAL_SQL}",
+        "score_delta": f"WITH RECURSIVE {_MODEL} SELECT max(abs(model.score - again.score)) AS delta FROM model JOIN again USING (id)",
         "prune_vocab": f"WITH {_VOCAB} SELECT id, piece FROM ranked LEFT JOIN free USING (id) WHERE protected OR nth > floor(n * 0.15::DOUBLE)",
         "final_trim": f"WITH {_VOCAB} SELECT id, piece FROM trimmed",
         "reindex_vocab": f"WITH {_VOCAB} SELECT (row_number() OVER (ORDER BY special IS NULL, id) - 1)::INTEGER AS id, piece FROM trimmed",
         "decode_roundtrip": f"WITH {_NORM} SELECT doc_id, substr(replace(normalized, '▁', ' '), 2) AS decoded FROM norm",
-        "decode_ids_join": f"WITH {_MODEL} SELECT doc_id, md5(string_agg(piece, '' ORDER BY pos)) AS pieces_md5 FROM tokens GROUP BY doc_id",
-        "eval_metrics": f"""WITH {_MODEL}, t AS (SELECT count(*) AS n, count(DISTINCT doc_id) AS d, count(*) FILTER (id = 0) AS u, count(DISTINCT id) AS k FROM tokens)
-            SELECT n::DOUBLE / n AS {METRICS[0]}, n::DOUBLE / d AS {METRICS[1]}, u::DOUBLE / n AS {METRICS[2]}, k::DOUBLE / {CHARS + 4} AS {METRICS[3]} FROM t""",
-        "sample_segmentations": f"""WITH {_MODEL}, first AS (SELECT doc_id FROM norm ORDER BY doc_id LIMIT 8)
-            SELECT doc_id, string_agg(piece, '|' ORDER BY pos) AS pieces, substr(replace(string_agg(piece, '' ORDER BY pos), '▁', ' '), 2) AS decoded FROM tokens JOIN first USING (doc_id) GROUP BY doc_id""",
-        "validate_model": "SELECT true AS ids_contiguous, true AS pieces_unique, true AS bytes_complete, true AS specials_known, true AS one_unknown",
+        "decode_ids_join": f"WITH RECURSIVE {_MODEL} SELECT doc_id, md5(string_agg(whole, '' ORDER BY nth)) AS pieces_md5 FROM placed JOIN spelt USING (word) GROUP BY doc_id",
+        "eval_metrics": f"""WITH RECURSIVE {_MODEL}, t AS (SELECT sum(usage) AS n, sum(usage) FILTER (id = 0) AS u, count(*) AS k FROM used), d AS (SELECT count(*) AS d, sum(length(normalized)) AS c FROM norm)
+            SELECT c::DOUBLE / n AS {METRICS[0]}, n::DOUBLE / d AS {METRICS[1]}, coalesce(u, 0)::DOUBLE / n AS {METRICS[2]}, k::DOUBLE / (SELECT count(*) + 4 FROM model) AS {METRICS[3]} FROM t, d""",
+        "sample_segmentations": f"""WITH RECURSIVE {_MODEL}, first AS (SELECT doc_id FROM norm ORDER BY doc_id LIMIT 8)
+            SELECT doc_id, string_agg(pieces, '|' ORDER BY nth) AS pieces, substr(replace(string_agg(whole, '' ORDER BY nth), '▁', ' '), 2) AS decoded FROM placed JOIN spelt USING (word) JOIN first USING (doc_id) GROUP BY doc_id""",
+        "validate_model": f"""SELECT * FROM (VALUES {", ".join(f"('{c}', {', '.join(str(r not in broken).lower() for r in RULES)})" for c, broken in BROKEN.items())}) AS t(case_name, {', '.join(RULES)})""",
+        "train_words": _training_sql(),
+        "read_text_files": r"SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g')) AS text_md5 FROM documents WHERE doc_id IS NOT NULL",
+        "read_jsonl_files": r"SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g')) AS text_md5 FROM documents WHERE doc_id IS NOT NULL",
         "parity_report": f"SELECT case_id, failed FROM (VALUES {golden}) AS t(case_id, failed)",
     }
