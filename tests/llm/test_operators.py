@@ -117,7 +117,7 @@ def test_packing(docs, rows, empty):
     assert Counter(x for n, ls in packs for x in ls * n) == Counter({128: 3, 100: 2, 28: 1, 5: 40, 1: 7}) and max(sum(ls) for _, ls in packs) <= 128
 
 
-@pytest.mark.parametrize("window, gram, bounds", [(50, 16, {}), (8, 3, {"shard_words": 60, "broadcast_words": 120, "passes": 99}), (8, 3, {"shard_words": 60, "broadcast_words": 0}), (8, 3, {"shard_words": 1})])
+@pytest.mark.parametrize("window, gram, bounds", [(50, 16, {}), (8, 3, {"shard_words": 60, "broadcast_words": 120, "passes": 99}), (8, 3, {"shard_words": 60, "broadcast_words": 0}), (8, 3, {"anchor_words": 1})])
 def test_substring_dedup(docs, rows, empty, window, gram, bounds):
     first = {}
     for d, x, *_ in sorted(rows, key=lambda r: r[0]):

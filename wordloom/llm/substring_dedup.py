@@ -13,7 +13,8 @@ One automaton of a whole corpus fits nowhere, so the reference is cut down to wh
    runs stream past their shard's: matching statistics against smaller documents of `window` words or more mark
    what is covered. A reference of more words than that is not broadcast: its shards are dealt to tasks, each of
    which builds one automaton at a time and streams the shard's runs past it. Results are the same.
-4. An anchor of more than `shard_words` words is dealt out by its windows (a minimum for each), so that it need not fit.
+4. An anchor of more than `anchor_words` words is dealt out by its windows (a minimum for each), so that it need not
+   fit: a task holds an automaton of shard_words + anchor_words words, about, at most.
 5. The spans come back to the texts, and the words that they cover go.
 
 Every count is combined before it is shuffled; joins on anchors are ones that Spark can split.
@@ -211,7 +212,7 @@ def _kept(with_text: bool):
     return keep
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 16, shard_words: int = 100_000, broadcast_words: int = 500_000, passes: int = 8, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 16, shard_words: int = 100_000, broadcast_words: int = 500_000, passes: int = 8, anchor_words: int = 300_000, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) for each row.
 
     A word goes if a window of `window` words over it also starts in a document with a smaller id. Rows of one
@@ -228,7 +229,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 16, shard_word
     later = later.select("doc_id", "text_id", F.col("first").alias("s"), (F.col("first") + F.col("n") + window - 1).alias("e"))
 
     mixed = firsts.filter("mixed").select("anchor", "same", "f.*", "n")
-    width = mixed.groupBy("anchor").agg(F.sum(F.col("n") + window - 1).alias("words")).select("anchor", "words", (F.col("words") > shard_words).alias("wide"))
+    width = mixed.groupBy("anchor").agg(F.sum(F.col("n") + window - 1).alias("words")).select("anchor", "words", (F.col("words") > anchor_words).alias("wide"))
     words = width.agg(F.coalesce(F.sum(F.when(~F.col("wide"), F.col("words"))), F.lit(0)).alias("n")).first()["n"]
     asked = mixed.join(width.select("anchor", "wide"), "anchor").groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("anchor", "same", "first", "n", "wide")).alias("asked"))
     snippets = known.join(asked, ["doc_id", "text_id"]).select("doc_id", "text", "asked").mapInArrow(_snippets(window), SNIPPET)
