@@ -77,6 +77,7 @@ def test_token_counts(docs, rows, empty):
     want = sorted(((d, len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for d, x, *_ in rows), key=repr)
     assert by_id(token_counts.token_counts(docs), "n_bytes", "n_tokens") == want
     assert by_id(token_counts.token_counts(docs, chunk_chars=17), "n_bytes", "n_tokens") == want
+    assert by_id(token_counts.token_counts(docs, chunk_chars=17, long_chars=30), "n_bytes", "n_tokens") == want
     assert token_counts.token_counts(empty).count() == 0
     x = token_counts.transducer_of(public_tokenizers.path("word_bpe_49k.json"))
     maps = [token_counts.state_map(x, BASE[k : k + 5]) for k in range(0, 300, 5)]

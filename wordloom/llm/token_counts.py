@@ -10,8 +10,10 @@ crosses their border before either is consumed, which the merge ranks decide.
 
 Words begin and end in the start state, so white space resets the transducer, and a chunk's state map is
 (head, body, tail): what it does to a pending word, the tokens it emits whatever came before, and the word
-it leaves pending. These maps form a monoid; the chunks of a text are composed pairwise, serially in one task.
-Head and tail are raw text, so a run without white space is counted whole. `scan` gives all prefixes (tests only).
+it leaves pending. These maps form a monoid, and `scan` composes a text's maps in rounds of pairs. A text of more
+than 4 * LONG bytes is cut into chunks whose maps are made by many tasks, wherever they are dealt, and composed by
+the scan once they meet. Head and tail are text, not states: a run without white space is counted whole where its
+last chunk is composed.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from wordloom.llm.pretokens import as_letters, pretokens
 
 #: Characters of a chunk; states and words that are kept by a worker before it starts anew.
 CHUNK_CHARS, MAX_STATES, MAX_WORDS = 1 << 16, 150_000, 600_000
+#: Four bytes times this, beyond which a text's chunks are dealt to tasks.
+LONG = 1 << 20
 #: A longer word is counted anew each time, so that what is kept stays bounded.
 KEPT_CHARS = 256
 END = "</w>"
@@ -186,28 +190,30 @@ def compose(transducer: Transducer, a: Map, b: Map) -> Map:
     return a[0], a[1] + text_count(transducer, a[2] + b[0]) + b[1], b[2]
 
 
-def halved(transducer: Transducer, maps: list[Map]) -> list[Map]:
-    """One round of the scan's way up: neighbours are composed, whatever the other pairs do."""
-    return [compose(transducer, *maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-
-
 def scan(transducer: Transducer, maps: list[Map]) -> list[Map]:
     """All prefixes composed, in rounds up (pairs) and down (the prefixes between)."""
     if len(maps) < 2:
         return list(maps)
-    above = scan(transducer, halved(transducer, maps))
+    pairs = [compose(transducer, *maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+    above = scan(transducer, pairs)
     return [above[k // 2] if k % 2 or k + 1 == len(maps) else compose(transducer, above[k // 2 - 1], m) if k else m for k, m in enumerate(maps)]
 
 
+def whole_count(transducer: Transducer, maps: list[Map]) -> int:
+    """Of a text's maps, in order: its last prefix, begun and ended."""
+    head, body, tail = scan(transducer, maps)[-1]
+    return body + text_count(transducer, tail) + (text_count(transducer, head) if head is not None else 0)
+
+
+def chunks(text: str, chunk_chars: int) -> Iterator[str]:
+    for k in range(0, len(text), chunk_chars):
+        yield text[k : k + chunk_chars]
+
+
 def chunked_count(transducer: Transducer, text: str, chunk_chars: int = CHUNK_CHARS) -> int:
-    """The last prefix is all that a count needs: the way up gives it, in memory of the text's own size."""
     if len(text) <= chunk_chars:
         return text_count(transducer, text)
-    maps = [state_map(transducer, text[k : k + chunk_chars]) for k in range(0, len(text), chunk_chars)]
-    while len(maps) > 1:
-        maps = halved(transducer, maps)
-    head, body, tail = maps[0]
-    return body + text_count(transducer, tail) + (text_count(transducer, head) if head is not None else 0)
+    return whole_count(transducer, [state_map(transducer, c) for c in chunks(text, chunk_chars)])
 
 
 _made: dict[str, Transducer] = {}
@@ -220,24 +226,62 @@ def transducer_of(path: str) -> Transducer:
     return _made[path]
 
 
-def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 2048, chunk_chars: int = CHUNK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for each row. One scan, no shuffle.
+def _cut(chunk_chars: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, i, text in zip(batch.column("doc_id"), batch.column("text_id"), batch.column("text")):
+                for nth, c in enumerate(chunks(text.as_py(), chunk_chars)):  # a row at a time: texts are long
+                    columns = [pa.array([d.as_py()], pa.int64()), pa.array([i.as_py()], pa.int64()), pa.array([nth], pa.int64()), pa.array([c])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "nth", "chunk"])
+
+    return cut
+
+
+def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 2048, chunk_chars: int = CHUNK_CHARS, long_chars: int = LONG, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit for each row. One scan; only texts beyond 4 * `long_chars` bytes are shuffled, in chunks.
 
     Null and empty texts have no bytes and no tokens; repeated ids and texts keep a row each; an empty table
     gives none; other columns are not read. vocabulary: a path that the executors can read, by default the
     installed word_bpe_49k.json.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def transducer() -> Transducer:
         import public_tokenizers
 
-        t = transducer_of(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
+        return transducer_of(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = transducer()
         for batch in batches:
             sums = [chunked_count(t, x.as_py(), chunk_chars) if x.is_valid else 0 for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(sums, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    sized = ids_and_text(docs, id_col, text_col).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    return sized.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = transducer()
+        for batch in batches:
+            texts = batch.column("chunk").to_pylist()
+            heads, bodies, tails = zip(*(state_map(t, c) for c in texts)) if texts else ((), (), ())
+            columns = [pa.array(heads, pa.string()), pa.array(bodies, pa.int64()), pa.array(tails, pa.string()), pa.array([len(c.encode()) for c in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_id", "nth")), *columns], names=["doc_id", "text_id", "nth", "head", "body", "tail", "size"])
+
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = transducer()
+        for batch in batches:
+            for d, maps in zip(batch.column("doc_id").to_pylist(), batch.column("maps").to_pylist()):
+                each = {m["nth"]: m for m in maps}  # rows of one id and text come together
+                rows = sum(m["nth"] == 0 for m in maps)
+                n = whole_count(t, [(m["head"], m["body"], m["tail"]) for _, m in sorted(each.items())])
+                size = sum(m["size"] for m in each.values())
+                yield pa.RecordBatch.from_arrays([pa.array([d] * rows, pa.int64()), pa.array([size] * rows, pa.int64()), pa.array([n] * rows, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+
+    told = "doc_id long, n_bytes long, n_tokens long"
+    sized = ids_and_text(docs, id_col, text_col)
+    long_ = F.coalesce(F.octet_length("text") > 4 * long_chars, F.lit(False))
+    out = sized.filter(~long_).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).mapInArrow(count, told)
+    cut = sized.filter(long_).withColumn("text_id", F.xxhash64("text")).mapInArrow(_cut(chunk_chars), "doc_id long, text_id long, nth long, chunk string")
+    maps = cut.repartition("doc_id", "text_id", "nth").mapInArrow(mapped, "doc_id long, text_id long, nth long, head string, body long, tail string, size long")
+    maps = maps.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("nth", "head", "body", "tail", "size")).alias("maps"))  # one text's
+    return out.unionByName(maps.mapInArrow(composed, told)).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
