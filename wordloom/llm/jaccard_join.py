@@ -228,20 +228,23 @@ def jaccard_rows(docs: DataFrame, shingle: int = 5, percent: int = 80, parts: in
     counted = places.groupBy("group").agg(F.ceil(F.count("*") / side).cast("int").alias("cuts"))
     cut = places.join(counted, "group").withColumn("own", F.when(F.col("cuts") > 1, F.pmod(F.xxhash64("node"), "cuts")).otherwise(0).cast("int"))
 
-    def links(deal: DataFrame) -> DataFrame:
+    def links(deal: DataFrame, few: bool) -> DataFrame:
         asked = deal.groupBy("node").agg(F.collect_list(F.struct("group", "i", "j", "side")).alias("places"))
         asked = asked.join(nodes.select("node", F.col("rep.doc_id").alias("own_id"), F.col("rep.text_id").alias("own_text")), "node")
+        asked = written(asked, "asked") if few else asked  # of known size: texts need not move to a few nodes
         wanted = docs.join(asked, (F.col("text_id") == F.col("own_text")) & F.col("doc_id").eqNullSafe(F.col("own_id"))).select("node", "places", "text")
         tokens = wanted.mapInArrow(_tokens(shingle), "node long, places array<struct<group:long,i:int,j:int,side:int>>, tokens binary")
         dealt = tokens.select("node", "tokens", F.explode("places").alias("p")).select("node", "tokens", "p.*")
         dealt = dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "side", "node")
-        return written(dealt.mapInArrow(_links(percent), "a long, b long"), "links")
+        out = written(dealt.mapInArrow(_links(percent), "a long, b long"), "links")
+        discard(asked)
+        return out
 
-    found = links(first_deal(cut))
+    found = links(first_deal(cut), False)
     roots = components(found)
     if counted.filter("cuts > 1").limit(1).count():
-        more = links(second_deal(cut, roots, side))
-        roots = components(found.unionByName(more))
+        more = links(second_deal(cut, roots, side), True)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
         discard(more)
     discard(places, found)
 
