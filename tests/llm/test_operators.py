@@ -217,9 +217,10 @@ def test_quality(docs, rows, empty):
         lines = [line for line in (x or "").split("\n") if words(line)]
         failed = len(w) < 10 or 100 * len(again) > 20 * len(w)
         want.append((d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", x or "")), len(lines) - len(set(lines)), len(again), failed))
-    out = quality(docs)
-    assert by_id(out, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == sorted(want, key=repr)
-    assert not any(r.kept and r.base_failed for r in out.collect())
+    out = quality(docs).collect()
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert sorted((tuple(r[c] for c in columns) for r in out), key=repr) == sorted(want, key=repr)
+    assert not any(r.kept and r.base_failed for r in out)
     assert quality(empty).count() == 0
 
 
@@ -250,7 +251,7 @@ def kneser_ney(texts, order):
     return p
 
 
-@pytest.mark.parametrize("max_entries", [6_000_000, 700])
+@pytest.mark.parametrize("max_entries", [6_000_000, 2500])
 def test_quality_bands(spark, max_entries):
     rng = random.Random(12)
     alphabets = {"en": "aeiou tnrs", "ru": "аеиоу тнрс", "ja": "のにをは日本語、"}
@@ -379,7 +380,7 @@ def test_licenses(docs, rows, empty):
 
 def test_licenses_of_many_notices(spark):
     notice = [t[1] for t in TEMPLATES]
-    texts = [f"{a} {prose(k)} {b}" for k, a in enumerate(notice) for b in notice]
+    texts = [f"{a} {prose(k)} {b}" for k, a in enumerate(notice) for b in notice[k % 5 :: 5]]
     texts += [" ".join(notice), "\n".join(notice[::-1] * 3), " ".join(" ".join(n.split()[2:]) for n in notice), "source and binary forms", "cc by x by cc nc", *notice, *[prose(30, seed=k) for k in range(40)], None, ""]
     ws = [(x or "").split() for x in texts]
     ws = [[y.strip(".,").lower() for y in w] for w in ws]
@@ -399,7 +400,7 @@ def test_licenses_of_many_notices(spark):
         want.append((d, ",".join(sorted(base | {k for k, v in found.items() if v >= 0.6})), max([*found.values(), 1.0 if base else 0.0])))
     got = sorted((r.doc_id, r.labels, r.score) for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
     assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want])
-    assert {"bsd", "cc-by-nc", "mit", "mpl"} < set(want[len(notice) ** 2][1].split(","))
+    assert {"bsd", "cc-by-nc", "mit", "mpl"} < set(next(w[1] for w, t in zip(want, texts) if t == " ".join(notice)).split(","))
 
 
 def test_language(spark, docs, empty):
