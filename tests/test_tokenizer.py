@@ -341,7 +341,7 @@ def test_external_backend(spark, tmp_path, capsys):
     import sentencepiece
 
     corpus = tmp_path / "c.txt"
-    corpus.write_text("Muraho neza\n\nMuraho bwiza\nNeza cyane\nIsi yose\n", encoding="utf-8")
+    corpus.write_text("Muraho neza\n\nMuraho bwenge\nNeza cyane\nIsi yose\n", encoding="utf-8")
     assert cli.main(["train", "--backend", "sentencepiece", "--output-dir", str(tmp_path / "out"), "--name", " Some  Name!", "--vocab-size", "32", str(corpus)]) == 0
     told = json.loads(capsys.readouterr().out)
     assert told["name"] == "some-name" and told["documents"] == 5 and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["eval.json", "some-name.model", "some-name.vocab"]
