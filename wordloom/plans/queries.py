@@ -78,7 +78,8 @@ def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct words, markers in front, and their counts."""
     each = _texts(spark, sf_dir).select(F.explode(F.regexp_extract_all("normalized", F.lit(f"{MARKER}[^{MARKER}]*"), F.lit(0))).alias("normalized"))
-    return each.groupBy("normalized").agg(F.count("*").alias("weight"))
+    counted = each.groupBy("normalized").agg(F.count("*").alias("weight"))
+    return counted.repartition(spark.sparkContext.defaultParallelism)  # else few words end in one partition, whatever their parts cost
 
 
 def word_model(spark: SparkSession, sf_dir: str, with_bytes: bool = False) -> Model:
