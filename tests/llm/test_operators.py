@@ -173,6 +173,52 @@ def test_substring_dedup_of_a_very_long_text(spark):
     assert [(out[k].n_words, out[k].n_removed) for k in (1, 2, 3)] == [(n, 0), (n + 1, n), (49, 0)]
 
 
+def joined_rows(spark, run):
+    """The most rows that a join makes while `run` does its work."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    most = 0
+    executions = store.executionsList()
+    for k in range(before, executions.size()):
+        at = executions.apply(k).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size()) if "Join" in nodes.apply(i).name()):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return most
+
+
+@pytest.mark.parametrize("bounds", [{}, {"broadcast_words": 0}, {"anchor_words": 1}])
+def test_substring_dedup_joins_a_row_a_run(spark, bounds):
+    a, b = prose(200, seed=21), prose(90, seed=22)
+    rows = [(1, a + " x " + b)] + [(2, a + " y " + b)] * 60
+    out = []
+    most = joined_rows(spark, lambda: out.extend(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), **bounds).collect()))
+    assert sorted((r.doc_id, r.n_removed) for r in out) == [(1, 0)] + [(2, 290)] * 60
+    assert most <= 60 * 50  # no square of the repeated rows
+
+
+def test_substring_dedup_joins_pieces_of_wide_anchors(spark):
+    shared = prose(120, seed=31).split()
+    rng, rows = random.Random(6), []
+    for d in range(200):
+        at = rng.randrange(120)
+        rows.append((d, " ".join(shared[:at] + [f"w{d}"] + shared[at + 1 :])))
+    first, want = {}, []
+    for d, x in rows:
+        w = words(x)
+        windows = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        gone = {j for k, y in enumerate(windows) if first.setdefault(y, d) < d for j in range(k, k + 50)}
+        want.append((d, len(gone)))
+    got, docs = [], spark.createDataFrame(rows, "doc_id long, text string")
+    most = joined_rows(spark, lambda: got.extend(remove_repeats(docs, anchor_words=1).collect()))
+    assert sorted((r.doc_id, r.n_removed) for r in got) == want
+    assert most <= 10 * len(rows)  # not a row for each of 71 windows
+
+
 def test_secrets(docs, rows, empty):
     want = []
     for d, x, *_ in rows:

@@ -13,9 +13,13 @@ One automaton of a whole corpus fits nowhere, so the reference is cut down to wh
    runs stream past their shard's: matching statistics against smaller documents of `window` words or more mark
    what is covered. A reference of more words than that is not broadcast: its shards are dealt to tasks, each of
    which builds one automaton at a time and streams the shard's runs past it. Results are the same.
-4. An anchor of more than `anchor_words` words is dealt out by its windows (a minimum for each), so that it need not
-   fit: a task holds an automaton of shard_words + anchor_words words, about, at most.
-5. The spans come back to the texts, and the words that they cover go.
+4. An anchor of more than `anchor_words` words is dealt out, so that it need not fit: a task holds an automaton of
+   shard_words + anchor_words words, about, at most. Its runs are cut into pieces of PIECE windows, counted from the
+   anchor's place, so that copies have equal pieces; of equal ones, all but the first document's are covered. The
+   windows of the first ones only are compared one by one (a minimum for each): the first document of a window
+   has it in a piece that no smaller document has.
+5. A run's spans are one row when they come back to the texts, however many they are and however often a row is
+   repeated; the words that they cover go.
 
 Every count is combined before it is shuffled; joins on anchors are ones that Spark can split.
 """
@@ -35,10 +39,12 @@ from wordloom.llm.automaton import Compact, SuffixAutomaton, covered
 from wordloom.llm.common import U64, blocks, documents, ids_and_text, runs_hash, written
 
 RUN = "anchor long, same long, doc_id long, text_id long, first long, n long"
-SNIPPET = "anchor long, same long, doc_id long, words binary, part long, place long"
+SNIPPET = "anchor long, same long, doc_id long, words binary, piece long, place long, parts array<long>"
 FOUND = "anchor long, same long, doc_id long, s long, e long"
 #: Windows of a run at most; runs that go through an automaton together.
 LONG, TOGETHER = 512, 1024
+#: Windows of a piece of a wide anchor's run at most.
+PIECE = 8
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -77,8 +83,20 @@ def _runs(window: int, gram: int):
     return find
 
 
-def _snippets(window: int):
-    """The words (as hashes) of the asked runs; of those of wide anchors, each window's hash by itself."""
+def _pieces(words: np.ndarray, anchor: int, n: int, window: int, gram: int) -> Iterator[tuple[int, int, list[int]]]:
+    """(hash, first window, hashes of the windows) of each piece of a run of n windows."""
+    at = np.arange(window - gram + 1)
+    middle = np.flatnonzero(runs_hash(words, at, at + gram).view(np.int64) == anchor)[0]
+    cuts = np.unique(np.r_[0, np.arange(middle % PIECE, n, PIECE), n])
+    at = np.arange(n)
+    parts = runs_hash(words, at, at + window).view(np.int64).tolist()
+    whole = runs_hash(words, cuts[:-1], cuts[1:] + window - 1).view(np.int64).tolist()
+    for h, s, e in zip(whole, cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield h, s, parts[s:e]
+
+
+def _snippets(window: int, gram: int):
+    """The words (as hashes) of the asked runs; of those of wide anchors, the pieces."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,15 +108,14 @@ def _snippets(window: int):
                 for k in range(b.n):
                     for r in asked[b.lo + k]:
                         start = w.first[k] + r["first"]
+                        words, key = w.hash[start : start + r["n"] + window - 1], (r["anchor"], r["same"], ids[b.lo + k])
                         if r["wide"]:
-                            begin = np.arange(start, start + r["n"])
-                            for j, h in enumerate(runs_hash(w.hash, begin, begin + window).view(np.int64)):
-                                rows.append((r["anchor"], r["same"], ids[b.lo + k], None, int(h), j))
+                            rows += [(*key, None, *piece) for piece in _pieces(words, r["anchor"], r["n"], window, gram)]
                         else:
-                            rows.append((r["anchor"], r["same"], ids[b.lo + k], w.hash[start : start + r["n"] + window - 1].tobytes(), None, None))
-                columns = list(zip(*rows)) if rows else [()] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["anchor", "same", "doc_id", "words", "part", "place"])
+                            rows.append((*key, words.tobytes(), None, None, None))
+                columns = list(zip(*rows)) if rows else [()] * 7
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["anchor", "same", "doc_id", "words", "piece", "place", "parts"])
 
     return cut
 
@@ -133,7 +150,7 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows come by (shard, doc_id): a shard's at a time."""
+    """Rows come by (shard, doc_id, same): a shard's at a time, repeated ones once."""
     now, held = None, []
     for batch in batches:
         for shard, row in _rows(batch):
@@ -141,7 +158,8 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
                 yield now, held
                 held = []
             now = shard
-            held.append(row)
+            if not held or held[-1][:3] != row[:3]:
+                held.append(row)
     if held:
         yield now, held
 
@@ -189,6 +207,17 @@ def matched(snippets: DataFrame, words: int, window: int, shard_words: int, broa
     return out
 
 
+def compared(pieces: DataFrame, window: int) -> DataFrame:
+    """FOUND of the written pieces (anchor, same, doc_id, piece, place, parts)."""
+    pieces = written(pieces.join(pieces.groupBy("piece").agg(F.min("doc_id").alias("lo")), "piece"), "pieces")
+    key = ["anchor", "same", "doc_id"]
+    copied = pieces.filter("doc_id > lo").select(*key, F.col("place").alias("s"), (F.col("place") + F.size("parts") + window - 1).alias("e"))
+    windows = pieces.filter("doc_id = lo").select(*key, "place", F.posexplode("parts").alias("nth", "part"))
+    least = windows.groupBy("part").agg(F.min("doc_id").alias("lo"))
+    s = F.col("place") + F.col("nth")
+    return copied.unionByName(windows.join(least, "part").filter("doc_id > lo").select(*key, s.alias("s"), (s + window).alias("e")))
+
+
 def _kept(with_text: bool):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,22 +255,22 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 16, shard_word
     runs = written(runs.join(shared.select("anchor", "mixed"), "anchor"), "runs")
     firsts = runs.groupBy("anchor", "same").agg(F.min(F.struct("doc_id", "text_id", "first")).alias("f"), F.max("n").alias("n"), F.max("mixed").alias("mixed"))
     later = runs.join(firsts.select("anchor", "same", F.col("f.doc_id").alias("lo")), ["anchor", "same"]).filter("doc_id > lo")
-    later = later.select("doc_id", "text_id", F.col("first").alias("s"), (F.col("first") + F.col("n") + window - 1).alias("e"))
+    span = lambda s, e: F.struct((F.col("first") + s).alias("s"), (F.col("first") + e).alias("e"))
+    later = later.select("doc_id", "text_id", F.array(span(F.lit(0), F.col("n") + window - 1)).alias("spans"))
 
     mixed = firsts.filter("mixed").select("anchor", "same", "f.*", "n")
     width = mixed.groupBy("anchor").agg(F.sum(F.col("n") + window - 1).alias("words")).select("anchor", "words", (F.col("words") > anchor_words).alias("wide"))
-    words = width.agg(F.coalesce(F.sum(F.when(~F.col("wide"), F.col("words"))), F.lit(0)).alias("n")).first()["n"]
+    size = width.agg(F.coalesce(F.sum(F.when(~F.col("wide"), F.col("words"))), F.lit(0)).alias("n"), F.count_if("wide").alias("wide")).first()
     asked = mixed.join(width.select("anchor", "wide"), "anchor").groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("anchor", "same", "first", "n", "wide")).alias("asked"))
-    snippets = known.join(asked, ["doc_id", "text_id"]).select("doc_id", "text", "asked").mapInArrow(_snippets(window), SNIPPET)
+    snippets = known.join(asked, ["doc_id", "text_id"]).select("doc_id", "text", "asked").mapInArrow(_snippets(window, gram), SNIPPET)
     snippets = written(snippets, "snippets")
-    found = matched(snippets.filter("words IS NOT NULL"), words, window, shard_words, broadcast_words, passes)
-    windows = snippets.filter("part IS NOT NULL")
-    least = windows.groupBy("part").agg(F.min("doc_id").alias("lo"))
-    open_ = windows.join(least, "part").filter("doc_id > lo").select("anchor", "same", "doc_id", F.col("place").alias("s"), (F.col("place") + window).alias("e"))
-    own = runs.join(found.unionByName(open_), ["anchor", "same", "doc_id"])
-    own = own.select("doc_id", "text_id", (F.col("first") + F.col("s")).alias("s"), (F.col("first") + F.col("e")).alias("e"))
+    found = matched(snippets.filter("words IS NOT NULL"), size["n"], window, shard_words, broadcast_words, passes)
+    if size["wide"]:
+        found = found.unionByName(compared(snippets.filter("parts IS NOT NULL").drop("words"), window))
+    found = found.groupBy("anchor", "same", "doc_id").agg(F.collect_set(F.struct("s", "e")).alias("found"))  # a run has LONG windows at most
+    own = runs.join(found, ["anchor", "same", "doc_id"]).select("doc_id", "text_id", F.transform("found", lambda x: span(x["s"], x["e"])).alias("spans"))
 
-    spans = later.unionByName(own).groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = later.unionByName(own).groupBy("doc_id", "text_id").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     left = docs.join(spans, ["doc_id", "text_id"], "left").select("doc_id", "text", "spans")
     return left.mapInArrow(_kept(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
