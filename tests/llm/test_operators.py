@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +19,8 @@ from wordloom.llm.jaccard_join import jaccard_groups
 from wordloom.llm.licenses import TEMPLATES, license_scan
 from wordloom.llm.line_dedup import dedupe_lines, one_word_apart
 from wordloom.llm.packing import pack, shortest_pack_first
-from wordloom.llm.quality import quality
+from wordloom.llm.common import Sorted, blocks
+from wordloom.llm.quality import Part, Signs, distinct, quality
 from wordloom.llm.substring_dedup import remove_repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, anchor string"
@@ -346,6 +348,33 @@ def test_quality_bands(spark, max_entries):
     assert not any(kept[1000 + k] for k in range(6)) and sum(kept[k] for k in range(330)) > 300
 
 
+def test_quality_looks_each_gram_up_once():
+    asked = []
+
+    class Table(Sorted):
+        def find(self, keys):
+            asked.append(len(keys))
+            return super().find(keys)
+
+    def tables():
+        return Table(np.zeros(0, np.uint64), np.zeros(0, np.float32)), Sorted(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+
+    (b,) = blocks(pa.array(["river é" * 500, None, "abc", "river é" * 500]))
+    bits, n = Part(*tables(), {"=en": -2.0, "=fr": -1.0}).score(Signs(b.data, b.offsets), ["=en", "=en", "=en", "=fr"])
+    assert n.tolist() == [3496, 0, 0, 3496] and bits.tolist() == [6992.0, 0, 0, 3496.0]
+    assert asked == [14] * 5  # seven places of the repeated word, by model
+
+
+def test_distinct():
+    keys = np.array([7, 1 << 60, 7, (1 << 60) + 1, 1 << 60, 5, 5], np.uint64)  # some differ in the low bits only
+    order, starts, first = distinct(keys)
+    n = Counter()
+    for k, c in zip(keys[first].tolist(), np.diff(np.r_[starts, len(keys)]).tolist()):
+        n[k] += c
+    assert n == Counter(keys.tolist()) and sorted(order.tolist()) == list(range(7))
+    assert [len(x) for x in distinct(keys[:0])] == [0, 0, 0]
+
+
 def test_line_distance(spark):
     rng = random.Random(2)
     made = [[rng.choice("abc") for _ in range(rng.randint(1, 6))] for _ in range(150)]

@@ -38,6 +38,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[np.frombuffer(b" \t\x0b\x0c\r", np.uint8)] = 32
 _FOLD[np.frombuffer(b"0123456789", np.uint8)] = 48
 _GOLD, _BASE = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
+_POINT = mix(np.arange(256, dtype=U64) * _GOLD + U64(1))
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -50,32 +51,35 @@ class Signs:
         self.data = _FOLD[data]
         lead = (data & 0xC0) != 0x80
         self.at = np.flatnonzero(lead)
-        before = np.r_[0, np.cumsum(lead)]
-        self.begin, self.end = before[offsets[:-1]], before[offsets[1:]]
-        point = self.data[self.at].astype(U64)
-        if len(self.data) and self.data.max() > 127:
-            padded, more = np.r_[self.data, np.zeros(3, np.uint8)], np.ones(len(self.at), bool)
+        self.begin, self.end = np.searchsorted(self.at, offsets[:-1]), np.searchsorted(self.at, offsets[1:])
+        first = self.data[self.at]
+        self.point = _POINT[first]
+        wide = np.flatnonzero(first > 127)
+        if len(wide):
+            at, point = self.at[wide], first[wide].astype(U64)
+            padded, more = np.r_[self.data, np.zeros(3, np.uint8)], np.ones(len(wide), bool)
             for k in (1, 2, 3):  # the packed bytes stand for the code point
-                byte = padded[self.at + k]
+                byte = padded[at + k]
                 more &= (byte & 0xC0) == 0x80
                 point = np.where(more, (point << U64(8)) | byte, point)
-        self.point = mix(point * _GOLD + U64(1))
+            self.point[wide] = mix(point * _GOLD + U64(1))
 
     def grams(self) -> list[np.ndarray]:
-        """By order from 1: the hash of the n-gram that ends at each place (0 where the block has no room for it)."""
-        out = [mix(self.point)]
+        """By order from 1: a hash of the n-gram that ends at each place, to be mixed (without meaning where the block
+        has no room for it). Signs are mixed already, so sums of their multiples tell n-grams apart."""
+        out = [self.point]
         for _ in range(ORDER - 1):
             h = np.zeros(len(self.point), U64)
-            h[1:] = mix(out[-1][:-1] * _BASE + self.point[1:])
+            np.multiply(out[-1][:-1], _BASE, out=h[1:])
+            h[1:] += self.point[1:]
             out.append(h)
         return out
 
-    def whole(self, n: int) -> np.ndarray:
-        """Where n-grams end that lie in one text."""
-        inside = np.zeros(len(self.at) + 1, np.int32)
-        np.add.at(inside, np.minimum(self.begin + n - 1, self.end), 1)
-        np.add.at(inside, self.end, -1)
-        return np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+    def whole(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where n-grams end that lie in one text, and the text of each."""
+        size = np.maximum(self.end - self.begin - n + 1, 0)
+        before = np.cumsum(size) - size
+        return np.arange(size.sum()) + np.repeat(self.begin + n - 1 - before, size), np.repeat(np.arange(len(size)), size)
 
     def text(self, ends: np.ndarray, n: int) -> pa.Array:
         """The n-grams that end there, as strings."""
@@ -93,8 +97,11 @@ def salt(model: str) -> U64:
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sorting order, where each distinct key starts in it, and one place of each (np.unique sorts slower)."""
-    order = np.argsort(keys)
+    """An order that brings equal keys together, where each run of equal ones starts in it, and one place of each. Places
+    are sorted in the keys' low bits, which is faster than argsort; keys of equal high bits, which are rare, can stand
+    in several runs, each of them right."""
+    low = U64((1 << max(1, len(keys).bit_length())) - 1)
+    order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=U64)) & low).astype(np.int64)
     keys = keys[order]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     return order, starts, order[starts]
@@ -117,8 +124,7 @@ def _counts():
             salts = np.array([salt(x) for x in model.to_pylist()], U64)
             for b in blocks(batch.column("text")):
                 s = Signs(b.data, b.offsets)
-                ends = s.whole(ORDER)
-                row = np.searchsorted(s.end, ends, "right")
+                ends, row = s.whole(ORDER)
                 key = mix(s.grams()[-1][ends] ^ salts[b.lo + row])
                 _, starts, first = distinct(key)
                 n, key = np.diff(np.r_[starts, len(key)]), key[first]
@@ -197,25 +203,29 @@ class Part:
 
     def score(self, s: Signs, models: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """By text: the sum of the negated log-probabilities of its n-grams, and how many there are."""
-        ends = s.whole(ORDER)
-        row = np.searchsorted(s.end, ends, "right")
+        ends, row = s.whole(ORDER)
         grams = s.grams()
         if self.parts > 1:
             own = (grams[1][ends - 1] % U64(self.parts)) == self.part
             ends, row = ends[own], row[own]
         salts = np.array([salt(m) for m in models], U64)
-        total, left = np.zeros(len(ends), np.float32), np.arange(len(ends))
+        key = mix(grams[-1][ends] ^ salts[row])
+        order, starts, first = distinct(key)  # each n-gram of the block is looked up once
+        key, at, of = key[first], ends[first], row[first]
+        value, left = np.zeros(len(first), np.float32), np.arange(len(first))
         for n in range(ORDER, 0, -1):
-            own = salts[row[left]]
-            found, value = self.grams.find(mix(grams[n - 1][ends[left]] ^ own))
-            total[left] += value
+            own = salts[of[left]]
+            found, seen = self.grams.find(key if n == ORDER else mix(grams[n - 1][at[left]] ^ own))
+            value[left] += seen
             left, own = left[~found], own[~found]
             if not len(left):
                 break
             if n > 1:
-                total[left] += self.contexts.find(mix(grams[n - 2][ends[left] - 1] ^ own))[1]
+                value[left] += self.contexts.find(mix(grams[n - 2][at[left] - 1] ^ own))[1]
             else:
-                total[left] += np.array([self.unseen[m] for m in models], np.float32)[row[left]]
+                value[left] += np.array([self.unseen[m] for m in models], np.float32)[of[left]]
+        total = np.empty(len(ends), np.float32)
+        total[order] = np.repeat(value, np.diff(np.r_[starts, len(ends)]))
         return np.bincount(row, -total.astype(np.float64), minlength=len(models)), np.bincount(row, minlength=len(models))
 
 
