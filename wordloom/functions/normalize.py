@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.model import MARKER, NormalizationConfig
 
-#: What counts as white space.
-SPACE_CLASS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
-_SPACES = re.compile(SPACE_CLASS)
+#: Texts that are held as Python strings at a time.
+ROWS = 256
 
 
 def normalize_text(text: str, config: NormalizationConfig | None = None) -> str:
@@ -23,7 +22,7 @@ def normalize_text(text: str, config: NormalizationConfig | None = None) -> str:
         raise ValueError("normalization config does not match normalization-v1")
     if not isinstance(text, str):
         raise TypeError(f"text must be str, got {type(text).__name__}")
-    text = _SPACES.sub(" ", unicodedata.normalize("NFC", text)).strip(" ").replace(" ", MARKER)
+    text = MARKER.join((text if text.isascii() else unicodedata.normalize("NFC", text)).split())  # on just the characters that count as white space
     return text if not text or text.startswith(MARKER) else MARKER + text
 
 
@@ -32,10 +31,17 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
+@F.arrow_udf(T.StringType())
+def _normalized(texts: pa.Array) -> pa.Array:
+    def rows(a: int) -> pa.Array:
+        return pa.array([x if x is None else normalize_text(x) for x in texts.slice(a, ROWS).to_pylist()], pa.string())
+
+    return pa.concat_arrays([rows(a) for a in range(0, len(texts), ROWS)]) if len(texts) else pa.array([], pa.string())
+
+
 def normalized(text: Column) -> Column:
-    """As a column; null stays null. Only NFC leaves the JVM."""
-    marked = F.replace(F.trim(F.regexp_replace(nfc(text), SPACE_CLASS, " ")), F.lit(" "), F.lit(MARKER))
-    return F.when((marked == "") | F.startswith(marked, F.lit(MARKER)), marked).otherwise(F.concat(F.lit(MARKER), marked))
+    """As a column; null stays null."""
+    return _normalized(text.cast("string"))
 
 
 def normalized_documents(docs: DataFrame, text_col: str = "text", drop_empty: bool = True) -> DataFrame:

@@ -11,30 +11,31 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.model import TrainerConfig
+from wordloom.operators.arrays import Trie, code_points, lengths_of, slices, substrings
 
-#: Substrings that a task adds up before it hands them on; lengths that the first pass counts, and each later one.
-HELD, FIRST, LENGTHS = 1_000_000, 3, 2
+#: Substrings that a task adds up before it hands them on, and characters that it counts at a time; lengths that the first pass counts, and each later one.
+HELD, CHARS, FIRST, LENGTHS = 500_000, 1 << 20, 3, 2
 
 
 def substring_counts(texts: DataFrame, max_chars: int, weight: str | None = None, min_chars: int = 1, prefixes: set[str] | None = None) -> DataFrame:
     """piece, count over the column normalized. Substrings may cross the boundary marker.
 
-    With prefixes, all of one length below min_chars, only substrings that begin with one of them. Each task adds
-    up what it reads, some at a time, so memory is bounded and the shuffle gets sums. SQL's substring() walks a
-    text from its start each time, which is quadratic in a text's length; this is not.
+    With prefixes, all of one length below min_chars, only substrings that begin with one of them. Each task counts
+    what it reads as arrays, some characters at a time, so memory is bounded and the shuffle gets sums.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(prefixes) if prefixes is not None else None
-    head = len(next(iter(prefixes))) if prefixes else 0
+    names = sorted(prefixes) if prefixes is not None else None
+    shared = texts.sparkSession.sparkContext.broadcast((names, Trie(names))) if names else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        known = shared.value if shared else None
+        known, trie = shared.value if shared else (None, None)
 
         def out() -> pa.RecordBatch:
             rows = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["piece", "n"])
@@ -42,17 +43,22 @@ def substring_counts(texts: DataFrame, max_chars: int, weight: str | None = None
             return rows
 
         for batch in batches:
-            for text, w in zip(batch.column("normalized").to_pylist(), batch.column("w").to_pylist()):
-                starts = range(len(text)) if known is None else [k for k in range(len(text) - head) if text[k : k + head] in known]
-                for n in range(min_chars, max_chars + 1):
-                    last = len(text) - n
-                    for piece, c in Counter([text[k : k + n] for k in starts if k <= last]).items():
-                        total[piece] += c * w
+            lengths = lengths_of(batch.column("normalized"))
+            for a, b in slices(lengths, CHARS):
+                codes = code_points(batch.column("normalized").slice(a, b - a), lengths[a:b])
+                w = batch.column("w").slice(a, b - a).to_numpy()
+                weights = None if (w == 1).all() else np.repeat(w, lengths[a:b] + 1)
+                for pieces, counts in substrings(codes, max_chars, weights, trie, known):
+                    if len(pieces[0]) >= min_chars:
+                        for piece, c in zip(pieces, counts):
+                            total[piece] += c
                     if len(total) > HELD:
                         yield out()
         yield out()
 
     rows = texts.filter("normalized <> ''").select("normalized", (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"))
+    if names == []:
+        rows = rows.limit(0)
     return rows.mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("count"))
 
 
