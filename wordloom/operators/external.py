@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.normalize import normalized_documents
 from wordloom.model import write_report
+from wordloom.operators.arrays import slices
 from wordloom.operators.evaluate import ratios
 
+#: Bytes of text that are encoded at a time.
+BYTES = 1 << 21
+
 #: How a model is trained, so that only the corpus's own normalization applies.
 TRAINING = {
     "model_type": "unigram", "character_coverage": 1.0, "normalization_rule_name": "identity", "shuffle_input_sentence": False, "input_sentence_size": 0,
@@ -41,17 +45,35 @@ def _processor(proto: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=proto)
 
 
-def external_segmentation(proto: bytes):
-    """normalized column -> (ids, pieces, decoded); the model, some MB at most, goes with the function."""
+def _encoded(proto: bytes, texts: pa.Array) -> pa.Array:
+    p, texts = _processor(proto), pc.fill_null(texts, "")
+    each = [pa.array(p.encode(texts.slice(a, b - a).to_pylist(), out_type=int, num_threads=1), pa.list_(pa.int32())) for a, b in slices(pc.binary_length(texts).to_numpy(), BYTES)]
+    return pa.concat_arrays([*each, pa.array([], pa.list_(pa.int32()))])
+
+
+def external_ids(proto: bytes):
+    """normalized column -> ids; the model, some MB at most, goes with the function."""
 
-    @F.pandas_udf("ids array<int>, pieces array<string>, decoded string")
-    def full(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        p = _processor(proto)
-        for rows in texts:
-            rows = [x or "" for x in rows]
+    @F.arrow_udf("array<int>")
+    def ids(texts: pa.Array) -> pa.Array:
+        return _encoded(proto, texts)
+
+    return ids
+
+
+def external_segmentation(proto: bytes):
+    """normalized column -> (ids, pieces, decoded)."""
+
+    @F.arrow_udf("ids array<int>, pieces array<string>, decoded string")
+    def full(texts: pa.Array) -> pa.Array:
+        p, out = _processor(proto), []
+        texts = pc.fill_null(texts, "")
+        for a, b in slices(pc.binary_length(texts).to_numpy(), BYTES):
+            rows = texts.slice(a, b - a).to_pylist()
             ids = p.encode(rows, out_type=int, num_threads=1)
-            pieces = p.encode(rows, out_type=str, num_threads=1)
-            yield pd.DataFrame({"ids": ids, "pieces": pieces, "decoded": [p.decode(i) for i in ids]})
+            pieces = pa.array(p.encode(rows, out_type=str, num_threads=1), pa.list_(pa.string()))
+            out.append(pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pieces, pa.array([p.decode(i) for i in ids], pa.string())], names=["ids", "pieces", "decoded"]))
+        return pa.concat_arrays(out) if out else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("pieces", pa.list_(pa.string())), ("decoded", pa.string())]))
 
     return full
 
@@ -60,7 +82,7 @@ def external_report(docs: DataFrame, proto: bytes, name: str, limit: int = 8, or
     """The same ratios as of own models over texts that are not empty; no samples if the limit is 0."""
     p, full = _processor(proto), external_segmentation(proto)
     texts = normalized_documents(docs, text_col)
-    told = ratios(texts.withColumn("ids", full("normalized")["ids"]), p.unk_id(), p.get_piece_size()).first().asDict()
+    told = ratios(texts.withColumn("ids", external_ids(proto)("normalized")), p.unk_id(), p.get_piece_size()).first().asDict()
     first = texts.orderBy(order).limit(max(limit, 0)).withColumn("seg", full("normalized"))
     rows = first.orderBy(order).select(F.col(text_col).alias("input"), "normalized", "seg.pieces", "seg.ids", "seg.decoded").collect()
     return told | {"model_name": name, "vocab_size": p.get_piece_size(), "sample_segmentations": [r.asDict() for r in rows]}

@@ -24,8 +24,8 @@ from wordloom.operators import vocabulary as V
 from wordloom.operators.candidates import seed_candidates, substring_counts
 from wordloom.operators.decode import decoded, with_pieces
 from wordloom.operators.evaluate import METRICS, metrics, parity, samples
-from wordloom.operators.external import external_segmentation
-from wordloom.operators.segment import encode_ids, piece_usage, segmentation
+from wordloom.operators.external import external_ids
+from wordloom.operators.segment import encode_ids, encode_pieces, piece_usage
 from wordloom.operators.training import fit
 from wordloom.sources.corpus import load, shared_folder, spread
 
@@ -222,8 +222,8 @@ def external_encode(spark, sf_dir):
     import public_tokenizers
 
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
-        seg = external_segmentation(f.read())("normalized")
-    rows = _texts(spark, sf_dir).withColumn("ids", seg["ids"])
+        ids = external_ids(f.read())("normalized")
+    rows = _texts(spark, sf_dir).withColumn("ids", ids)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"))
 
 
