@@ -177,8 +177,8 @@ def reindex_vocab(spark, sf_dir):
 
 
 def decode_roundtrip(spark, sf_dir):
-    seg = segmentation(word_model(spark, sf_dir, with_bytes=True))("normalized")
-    return _texts(spark, sf_dir).select("doc_id", decoded(seg["pieces"]).alias("decoded"))
+    pieces = encode_pieces(word_model(spark, sf_dir, with_bytes=True))("normalized")
+    return _texts(spark, sf_dir).select("doc_id", decoded(pieces).alias("decoded"))
 
 
 def decode_ids_join(spark, sf_dir):
