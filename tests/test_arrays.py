@@ -121,3 +121,16 @@ def test_external_ids_by_slices(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(external, "BYTES", 9)
     p = sentencepiece.SentencePieceProcessor(model_proto=proto)
     assert external._encoded(proto, pa.array(texts)).to_pylist() == [p.encode(t or "") for t in texts]
+
+
+def test_workers_give_memory_back():
+    from wordloom.functions.workers import lean
+
+    before = pa.default_memory_pool().backend_name
+    try:
+        lean()
+        assert pa.default_memory_pool().backend_name == "system"
+        assert pa.array(["a"]).to_pylist() == ["a"]
+    finally:
+        pools = {"mimalloc": pa.mimalloc_memory_pool, "jemalloc": pa.jemalloc_memory_pool, "system": pa.system_memory_pool}
+        pa.set_memory_pool(pools[before]())

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wordloom.functions.workers import lean
 from wordloom.model import MARKER, Model, byte_value
 from wordloom.operators.arrays import slices
 from wordloom.operators.segment import spelt
@@ -53,6 +54,7 @@ def _decoded(rows: pa.Array) -> list[str | None]:
 
 @F.arrow_udf(T.StringType())
 def decoded(pieces: pa.Array) -> pa.Array:
+    lean()
     sizes = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy()
     return pa.concat_arrays([pa.array(_decoded(pieces.slice(a, b - a)), pa.string()) for a, b in slices(sizes, PIECES)] or [pa.array([], pa.string())])
 

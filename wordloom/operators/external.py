@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.normalize import normalized_documents
+from wordloom.functions.workers import lean
 from wordloom.model import write_report
 from wordloom.operators.arrays import slices
 from wordloom.operators.evaluate import ratios
@@ -46,6 +47,7 @@ def _processor(proto: bytes):
 
 
 def _encoded(proto: bytes, texts: pa.Array) -> pa.Array:
+    lean()
     p, texts = _processor(proto), pc.fill_null(texts, "")
     each = [pa.array(p.encode(texts.slice(a, b - a).to_pylist(), out_type=int, num_threads=1), pa.list_(pa.int32())) for a, b in slices(pc.binary_length(texts).to_numpy(), BYTES)]
     return pa.concat_arrays([*each, pa.array([], pa.list_(pa.int32()))])
