@@ -134,3 +134,12 @@ def test_workers_give_memory_back():
     finally:
         pools = {"mimalloc": pa.mimalloc_memory_pool, "jemalloc": pa.jemalloc_memory_pool, "system": pa.system_memory_pool}
         pa.set_memory_pool(pools[before]())
+
+
+def test_whole_texts_do_not_go_through_the_loop(spark, monkeypatch):
+    """Models with pieces across markers, as `fit` makes them, segment many texts as arrays."""
+    s = Segmenter(Model([*special_entries(), Entry(4, "▁a", -0.3), Entry(5, "a▁b", -0.7), Entry(6, "b", -1.1)]))
+    texts = ["▁a▁b" * 9] * 100
+    want = [s._path(t)[1] for t in texts]
+    monkeypatch.setattr(Segmenter, "_path", lambda *a: pytest.fail("one text at a time"))
+    assert not s.by_word and s.columns(pa.array(texts))[0].to_pylist() == want
